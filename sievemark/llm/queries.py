@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm import exact_dedup, quality, toxicity
+from sievemark.llm import decontamination, exact_dedup, near_dedup, packing, quality, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": urls.query,
         "op2_quality": quality.query,
+        "op4_packing": packing.query,
         "op5_toxicity": toxicity.query,
+        "op6_decontamination": decontamination.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op10_near_dedup": near_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_urls": urls.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
