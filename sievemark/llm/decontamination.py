@@ -27,7 +27,7 @@ BITS = 18
 WINDOW, STRIDE = 48, 16
 RANK = 256
 COSINE = 0.4
-VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.5, 0.75
+VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: Shorter items can't be told from chance and aren't searched.
 MIN_WORDS = 8
 #: Passages searched in one pass over the documents; a larger benchmark takes more passes.
