@@ -8,10 +8,11 @@ both texts are then fetched by their locators and compared in full, so a collisi
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from sievemark.llm import bloom
 from sievemark.llm.common import materialise, shared_dir, table
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,7 +78,8 @@ def _hits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrivals = spark.read.schema(_KEY_SCHEMA).parquet(source).select("digest", "ord", "file", "pos")
     hits = materialise(arrivals.join(firsts, "digest").select("digest", "ord", "kept_doc_id", "file", "pos", "first_file", "first_pos"), "dedup-hits")
     content = rows.select("file", "pos", text.alias("text"))
-    bodies = hits.join(content, ["file", "pos"])
+    # the filter keeps what can't be a hit out of the shuffle of texts
+    bodies = hits.join(bloom.narrowed(content, hits.select("file", "pos"), ["file", "pos"]), ["file", "pos"])
     first = bodies.filter("file = first_file and pos = first_pos").select("digest", F.col("text").alias("first_text"))
     rest = bodies.filter("file <> first_file or pos <> first_pos")
     same = rest.join(first, "digest").filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8"))
@@ -98,7 +100,7 @@ def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't duplicates in the sense of ``duplicates``."""
     rows, hits = _hits(docs)
     gone = materialise(hits.select("file", "pos"), "dedup-gone")
-    return rows.join(gone, ["file", "pos"], "left_anti").select("d.*")
+    return bloom.without(rows, gone, ["file", "pos"]).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
