@@ -62,7 +62,7 @@ SELECT page_id, url, CASE WHEN url IS NULL THEN NULL ELSE host || path || CASE W
   SELECT page_id, url,
     regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(before, '^([^/]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^(www|m)\\.', '') AS host,
     regexp_replace(regexp_replace(regexp_extract(before, '^[^/]*(.*)$', 1), '/index\\.html?$', ''), '/+$', '') AS path,
-    array_to_string(list_sort(list_filter(string_split(query, '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|session|sid)(=|$)'))), '&') AS kept
+    array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|session|sid)(=|$)'))), '&') AS kept
   FROM (SELECT page_id, url, regexp_replace(bare, '\\?.*$', '') AS before, regexp_extract(bare, '\\?(.*)$', 1) AS query
     FROM (SELECT page_id, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages)))
 """
