@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, table
+from sievemark.llm.common import MEMO_ENTRIES, table
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Nonterminals begin here; the vocabulary's ids are below.
@@ -30,6 +31,8 @@ SHARD = 1_000_000
 #: A pair of fewer occurrences isn't replaced: its rule would cost more than it saves.
 LEAST = 4
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space other than single spaces and line feeds between printable characters.
+_IRREGULAR = re.compile(r"[^\S \n]|\s\s|\s$")
 SCHEMA = "shard_id string, doc_ids array<long>, starts array<int>, id_counts array<long>, ids binary, rule_left binary, rule_right binary, rule_length binary"
 
 
@@ -42,12 +45,54 @@ def encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, memo: Memo, enc) -> np.ndarray:
-    """As ``enc.encode_ordinary(text)``. A single space always begins a piece, so spans between single spaces are encoded apart, once each."""
-    if "  " in text or text.endswith(" ") or any(s in text for s in (" \n", " \t", " \r", "\n ", "\t ", "\r ")) or not text.isprintable() and any(c.isspace() and c not in " \n" for c in set(text)):
-        return np.array(enc.encode_ordinary(text), np.int32)
-    first, *rest = text.split(" ")
-    return np.fromiter(chain.from_iterable([memo[first], *map(memo.__getitem__, [" " + r for r in rest])]), np.int32)
+class Pieces:
+    """Ids of texts, from a table of the pieces met so far.
+
+    A single space always begins a piece of the vocabulary's pattern, so the spans between single spaces are encoded apart, once
+    each; texts with other runs of white space are encoded whole. Emptied beyond MEMO_ENTRIES, which changes no result.
+    """
+
+    def __init__(self, path: str):
+        self.enc, self.at = encoding(path), {}
+        self.flat, self.used, self.first, self.count = np.zeros(1 << 20, np.int32), 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.at) > MEMO_ENTRIES:
+            self.at.clear()
+            self.used = 0
+        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        got = list(map(self.enc.encode_ordinary, new))
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        k, total = len(self.at), int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(new) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
+        self.first[k : k + len(new)], self.count[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
+        self.at.update(zip(new, range(k, k + len(new)), strict=True))
+
+    def ids(self, text: str) -> np.ndarray:
+        if _IRREGULAR.search(text):
+            return np.array(self.enc.encode_ordinary(text), np.int32)
+        first, *rest = text.split(" ")
+        pieces = [first, *[" " + r for r in rest]]
+        try:
+            which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        except KeyError:
+            self.learn(pieces)
+            if len(self.at) < 1:
+                return np.zeros(0, np.int32)
+            which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        n = self.count[which]
+        return self.flat[np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    """One table for all tasks of a worker process."""
+    return Pieces(path)
 
 
 def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +108,7 @@ def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) ->
             break
         cut = np.flatnonzero(np.concatenate([[True], good[1:] != good[:-1]]))
         pairs, n = good[cut], np.diff(np.concatenate([cut, [len(good)]]))
-        bound = max(least, int(n.max()) // 4)
+        bound = max(least, int(n.max()) // 8)
         often = n >= bound
         if n.max() < least:
             break
@@ -177,13 +222,12 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard: int = SHARD) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
-        memo = Memo(lambda t: tuple(enc.encode_ordinary(t)))
+        table_ = pieces(vocabulary)
         names, parts, size, k, task = [], [], 0, 0, TaskContext.get().partitionId()
         for b in batches:
             for i, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
                 names.append(None if i is None or i != i else int(i))
-                parts.append(encode(text, memo, enc) if text else np.zeros(0, np.int32))
+                parts.append(table_.ids(text) if text else np.zeros(0, np.int32))
                 size += len(parts[-1])
                 if size >= shard:
                     yield _shard(f"{task:06d}-{k:06d}", names, parts)
