@@ -65,7 +65,6 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.pandas_udf("string")
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -74,7 +73,7 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def subject(text: Column) -> Column:
     """Line ends as LF and NFC, without folding case or space. Spark has no NFC, so only texts beyond ASCII go to Python."""
     lf = F.regexp_replace(text, "\r\n?", "\n")
-    return F.when(lf.rlike("^[\\x00-\\x7F]*$"), lf).otherwise(_nfc(F.when(~lf.rlike("^[\\x00-\\x7F]*$"), lf)))
+    return F.when(lf.rlike("^[\\x00-\\x7F]*$"), lf).otherwise(F.pandas_udf(_nfc, "string")(F.when(~lf.rlike("^[\\x00-\\x7F]*$"), lf)))
 
 
 def record_id(check_id: Column, record_type_id: Column, identity: dict[str, Column], semantic_subject: Column) -> Column:

@@ -35,10 +35,18 @@ def first_issue(fields: Column, declared: dict[str, tuple[str, bool]]) -> Column
     return issue
 
 
-def out_of_order(rows: DataFrame, ordinal: str, key: str) -> DataFrame:
-    """Rows whose key isn't greater than the one before, by ordinal: neighbours across partitions are met by one global sort's ranges."""
-    before = F.lag(key).over(Window.orderBy(ordinal))
-    return rows.withColumn("__b", before).filter(F.col("__b") >= F.col(key)).drop("__b")
+def out_of_order(rows: DataFrame, ordinal: str, key: str, span: int = 100_000) -> DataFrame:
+    """Rows whose key isn't greater than the one before, by ordinal.
+
+    Rows meet their neighbours within a span of ordinals; the first of a span meets the last of the span before, of which
+    there is one row per ``span`` rows, so that no task sorts everything.
+    """
+    part = rows.withColumn("__s", F.floor(F.col(ordinal) / span))
+    inner = part.withColumn("__b", F.lag(key).over(Window.partitionBy("__s").orderBy(ordinal)))
+    ends = part.groupBy("__s").agg(F.max_by(key, ordinal).alias("__last"))
+    ends = ends.withColumn("__s", F.lead("__s").over(Window.orderBy("__s"))).filter("__s is not null")
+    joined = inner.join(ends, "__s", "left").withColumn("__b", F.coalesce("__b", "__last"))
+    return joined.filter(F.col("__b") >= F.col(key)).select(*rows.columns)
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:
