@@ -52,7 +52,8 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def normal(raw: str) -> str:
     """Lower case, without punctuation at either end."""
-    return _EDGE.sub("", raw.lower())
+    word = raw.lower()
+    return word if word.isalnum() else _EDGE.sub("", word)
 
 
 class Memo(dict):
@@ -70,6 +71,17 @@ class Memo(dict):
         return value
 
 
+_MEMOS: dict[tuple, Memo] = {}
+
+
+def hashing(bits: int) -> Memo:
+    """token -> ``hashed(token, bits)``, one table for all tasks of a worker process."""
+    if bits not in _MEMOS:
+        mask = (1 << bits) - 1
+        _MEMOS[bits] = Memo(lambda t: crc(w) & mask if (w := normal(t)) else -1)
+    return _MEMOS[bits]
+
+
 def crc(word: str, seed: int = 0) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"), seed)
 

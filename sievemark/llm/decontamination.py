@@ -4,7 +4,8 @@
 2. The benchmark's passages (items, long ones cut) are TF-IDF rows; a randomised SVD, whose products run over the
    distributed passages, gives the latent space and each passage's place in it.
 3. Every window of WINDOW words, a new one each STRIDE words, of every document is folded into that space; passages whose
-   cosine reaches COSINE are candidates. A window whose idf mass lies elsewhere can't reach it and isn't folded.
+   cosine reaches COSINE are candidates. A bound (the sum over the window's words of the most that any passage gives the
+   word) tells which windows can reach it; the others aren't folded.
 4. A candidate is a leak where the longest common subsequence of words covers VERBATIM of the passage, or PARAPHRASE of it
    together with ANSWER of the item's answer (its text after an answer mark, else its last sentence).
 No step shuffles text: frequencies are summed in fixed chunks, candidates are verified where they are found.
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, chunks, flatten, hashed, table
+from sievemark.llm.common import Memo, chunks, flatten, hashing, table
 
 BITS = 18
 WINDOW, STRIDE = 48, 16
@@ -52,7 +53,7 @@ def inverse_frequencies(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     """idf of each bucket, over all rows of ``texts`` (column text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, df, seen = Memo(lambda t: hashed(t, bits)), np.zeros(1 << bits, np.int64), 0
+        memo, df, seen = hashing(bits), np.zeros(1 << bits, np.int64), 0
         for b in batches:
             seen += len(b)
             for lo, hi in chunks(len(b), 512):
@@ -80,7 +81,7 @@ def answer_of(text: str) -> str:
 
 def passages(item_id, text: str, bits: int = BITS) -> list[tuple]:
     """(item_id, word buckets, answer's word buckets or none) of an item cut into pieces of WINDOW words."""
-    memo = Memo(lambda t: hashed(t, bits))
+    memo = hashing(bits)
     ids = flatten([text], memo)[0]
     ids = ids[ids >= 0]
     if len(ids) < MIN_WORDS:
@@ -117,6 +118,14 @@ class Index:
     place: np.ndarray
     items: list = field(default_factory=list)
     bits: int = BITS
+    most: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        """most: the greatest weight of each row of ``basis`` in any passage's reconstruction."""
+        self.most = np.zeros(len(self.basis))
+        for lo, hi in chunks(len(self.basis), 4096):
+            if len(self.place):
+                self.most[lo:hi] = np.maximum(0, (self.basis[lo:hi] @ self.place.T).max(1))
 
     def leaks(self, texts, memo: Memo, cosine: float = COSINE) -> list[tuple]:
         """(row, item, cosine, lcs share, answer share) of every leak, the best of each (row, item)."""
@@ -135,10 +144,12 @@ class Index:
         w = self.idf[ids]
         slot = self.slot[ids]
         inside = slot >= 0
-        masses = [np.concatenate([[0.0], np.cumsum(np.add.reduceat(m, first))]) for m in (w * w, w * w * inside)]
         last = np.minimum(np.arange(len(first)) + WINDOW // STRIDE, (base + nb)[block_row])
-        total, mine = (m[last] - m[: len(first)] for m in masses)
-        go = np.flatnonzero(mine >= cosine * cosine * np.maximum(total, 1e-12))
+        best = np.zeros(len(ids))
+        best[inside] = w[inside] * self.most[slot[inside]]
+        sums = [np.concatenate([[0.0], np.cumsum(np.add.reduceat(m, first))]) for m in (w * w, best)]
+        total, reach = (m[last] - m[: len(first)] for m in sums)
+        go = np.flatnonzero(reach >= cosine * np.sqrt(total) - 1e-6)
         for lo, hi in chunks(len(go), 4096):
             wins = go[lo:hi]
             blocks = np.unique(np.minimum(wins[:, None] + np.arange(WINDOW // STRIDE), last[wins][:, None] - 1))
@@ -164,6 +175,8 @@ class Index:
                 spare = max(STRIDE, len(needle) // 4)
                 a, z = max(start[row], first[b] - spare), min(start[row] + n[row], first[b] + WINDOW + spare)
                 hay = ids[a:z]
+                if len(needle) - len(set(needle.tolist()).difference(hay.tolist())) < PARAPHRASE * len(needle):  # words in common bound the subsequence
+                    continue
                 share = common_length(needle, hay) / len(needle)
                 if share < PARAPHRASE:
                     continue
@@ -261,18 +274,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    # ids travel as text, since pandas would make a column with nulls doubles
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     for index in indexes(_texts(docs), benchmark, rank, bits):
         shared = spark.sparkContext.broadcast(index)  # grows with the benchmark, AT_ONCE passages at most; not with the documents
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
-            memo = Memo(lambda t: hashed(t, index.bits))
+            memo = hashing(index.bits)
             for b in batches:
                 ids = b["doc_id"].tolist()
                 for lo, hi in chunks(len(b), 256):
                     got = index.leaks(b["text"].iloc[lo:hi], memo, cosine)
-                    yield pd.DataFrame([(None if ids[lo + r] != ids[lo + r] else ids[lo + r], *rest) for r, *rest in got], columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame([(None if ids[lo + r] is None else int(ids[lo + r]), *rest) for r, *rest in got], columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]).astype({"doc_id": "Int64"})
 
         part = rows.mapInPandas(search, schema)
         out = part if out is None else out.union(part)
@@ -281,22 +295,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item in the sense of ``leaks``."""
-    for index in indexes(_texts(docs), benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = shared.value
-            memo = Memo(lambda t: hashed(t, index.bits))
-            for texts in batches:
-                hit = np.zeros(len(texts), bool)
-                for lo, hi in chunks(len(texts), 256):
-                    hit[[lo + r for r, *_ in index.leaks(texts.iloc[lo:hi], memo, cosine)]] = True
-                yield pd.Series(hit)
-
-        docs = docs.filter(~holds(F.col("text").cast("string")))
+    found = indexes(_texts(docs), benchmark)
+    for index in found:
+        docs = docs.filter(~_holds(docs.sparkSession, index, cosine)(F.col("text").cast("string")))
     return docs
 
 
+def _holds(spark: SparkSession, index: Index, cosine: float):
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = shared.value
+        memo = hashing(index.bits)
+        for texts in batches:
+            hit = np.zeros(len(texts), bool)
+            for lo, hi in chunks(len(texts), 256):
+                hit[[lo + r for r, *_ in index.leaks(texts.iloc[lo:hi], memo, cosine)]] = True
+            yield pd.Series(hit)
+
+    return holds
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
