@@ -55,14 +55,12 @@ def tester(spark: SparkSession, filter_: Blocked):
     shared = spark.sparkContext.broadcast(filter_)  # MOST_BYTES at most
 
     @F.pandas_udf("boolean")
-    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for keys in batches:
-            known = keys.notna().to_numpy()
-            hit = np.zeros(len(keys), bool)
-            hit[known] = shared.value.might_contain(keys.to_numpy()[known].astype(np.int64))
-            yield pd.Series(hit)
+            yield pd.Series(shared.value.might_contain(keys.to_numpy(np.int64)))
 
-    return maybe
+    # nulls are replaced before pandas sees them: it would make the keys doubles
+    return lambda k: test(F.coalesce(k, F.lit(0).cast("long"))) & k.isNotNull()
 
 
 def key(*columns: str) -> Column:

@@ -23,6 +23,8 @@ from sievemark.llm.common import materialise, table
 WINDOW = 2048
 DEPTH = 3
 STEPS = 150
+#: A run of characters that aren't white space in Unicode's sense.
+WORD = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 @lru_cache(maxsize=2)
@@ -133,14 +135,14 @@ def segments(steps: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
 def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, piece, length, pack_id, position): where each piece of each document goes; no pack holds more than ``window`` words.
 
-    A document of n words has ceil(n / window) pieces, all but the last of them full. Words are runs of non-space characters.
+    A document of n words has ceil(n / window) pieces, all but the last of them full. Words are runs of characters other than Unicode white space.
     Null, empty and blank texts have no words and no rows. Null doc_ids and repeated rows are packed like any other; equal
     (length, doc_id, piece) take their places in any order, so the set of rows is the same. Empty table: no rows. Other columns
     are ignored.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    words = F.regexp_count(text, F.lit("\\S+"))
+    words = F.regexp_count(text, F.lit(WORD))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n")).filter("n > 0")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {window}")))
     pieces = counted.select("doc_id", "n", piece.alias("piece")).select("doc_id", "piece", F.least(F.lit(window).cast("long"), F.expr(f"n - piece * {window}")).alias("length"))
@@ -166,11 +168,12 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 k = np.searchsorted(first, rank[rows], "right") - 1
                 packs[rows] = base[k] + rank[rows] - first[k]
                 at[rows] = offset[k]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "piece": b["piece"], "length": length, "pack_id": packs, "position": at})
+            yield pd.DataFrame({"doc_id": pd.array([None if i is None else int(i) for i in b["doc_id"]], "Int64"), "piece": b["piece"], "length": length, "pack_id": packs, "position": at})
 
+    # ids travel as text, since pandas would make a column with nulls doubles
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
     ranked = pieces.withColumn("nth", nth).join(F.broadcast(counts.select("length", "bucket", "before")), ["length", "bucket"])
-    return ranked.select("doc_id", "piece", "length", (F.col("before") + F.col("nth") - 1).alias("rank")).mapInPandas(place, "doc_id long, piece long, length long, pack_id long, position long")
+    return ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "length", (F.col("before") + F.col("nth") - 1).alias("rank")).mapInPandas(place, "doc_id long, piece long, length long, pack_id long, position long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
