@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import MEMO_ENTRIES, table
+from sievemark.llm.common import MEMO_ENTRIES, chunks, table
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Nonterminals begin here; the vocabulary's ids are below.
@@ -31,8 +30,8 @@ SHARD = 1_000_000
 #: A pair of fewer occurrences isn't replaced: its rule would cost more than it saves.
 LEAST = 4
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space other than single spaces and line feeds between printable characters.
-_IRREGULAR = re.compile(r"[^\S \n]|\s\s|\s$")
+#: What a text of single spaces and line feeds between words doesn't hold.
+_IRREGULAR = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
 SCHEMA = "shard_id string, doc_ids array<long>, starts array<int>, id_counts array<long>, ids binary, rule_left binary, rule_right binary, rule_length binary"
 
 
@@ -54,39 +53,57 @@ class Pieces:
 
     def __init__(self, path: str):
         self.enc, self.at = encoding(path), {}
+        self.returns = self.enc.encode_ordinary("\r\r a")[:-1]
         self.flat, self.used, self.first, self.count = np.zeros(1 << 20, np.int32), 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         if len(self.at) > MEMO_ENTRIES:
             self.at.clear()
             self.used = 0
-        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        got = list(map(self.enc.encode_ordinary, new))
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        k, total = len(self.at), int(sizes.sum())
+        starts = [p for p in new if p[:1] == " "]
+        later = list(new.difference(starts))
+        # between pieces that begin with a space, two carriage returns are a piece of their own; no piece holds one
+        ids = np.array(self.enc.encode_ordinary("\r\r " + "\r\r ".join(later)) if later else [], np.int32)
+        marks = np.isin(ids, self.returns)
+        owner = np.cumsum(marks & ~np.concatenate([[False], marks[:-1]])) - 1 if later else np.zeros(0, np.int64)
+        sizes = np.bincount(owner[~marks], minlength=len(later))[: len(later)]
+        first = [self.enc.encode_ordinary(p[1:]) for p in starts]
+        ids = np.concatenate([ids[~marks], np.fromiter(chain.from_iterable(first), np.int32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, first), np.int64, len(first))])
+        k, total = len(self.at), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(new) > len(self.first):
+        while k + len(sizes) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
-        self.first[k : k + len(new)], self.count[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + total] = ids
+        self.first[k : k + len(sizes)], self.count[k : k + len(sizes)] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += total
-        self.at.update(zip(new, range(k, k + len(new)), strict=True))
-
-    def ids(self, text: str) -> np.ndarray:
-        if _IRREGULAR.search(text):
-            return np.array(self.enc.encode_ordinary(text), np.int32)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + r for r in rest]]
+        self.at.update(zip(chain(later, starts), range(k, k + len(sizes)), strict=True))
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of every text, as ``enc.encode_ordinary`` gives them; null is as empty."""
+        words: list[str] = []
+        sizes, odd = [], {}
+        for k, text in enumerate(texts):
+            if not text:
+                sizes.append(0)
+            elif any(map(text.__contains__, _IRREGULAR)) or text[-1].isspace():
+                odd[k] = np.array(self.enc.encode_ordinary(text), np.int32)
+                sizes.append(0)
+            else:
+                own = text.split(" ")  # in the table a piece stands for itself after a space,
+                own[0] = " " + own[0]  # and after one that no split leaves, for itself at a text's start
+                words += own
+                sizes.append(len(own))
         try:
-            which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self.learn(pieces)
-            if len(self.at) < 1:
-                return np.zeros(0, np.int32)
-            which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            self.learn(set(words).difference(self.at) if len(self.at) <= MEMO_ENTRIES else set(words))
+            which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         n = self.count[which]
-        return self.flat[np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        flat = self.flat[np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum(sizes)]
+        return [odd.get(k, x) for k, x in enumerate(np.split(flat, cuts[:-1]))] if sizes else []
 
 
 @lru_cache(maxsize=2)
@@ -97,24 +114,27 @@ def pieces(path: str) -> Pieces:
 
 def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(compressed ids, left, right of each rule). -1 in ``x`` is never part of a pair."""
-    x = x.astype(np.int64)
+    x = x.astype(np.int32)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     top = first_rule
     while len(x) > 1:
-        key = (x[:-1] << 32) | (x[1:] & 0xFFFFFFFF)
-        good = np.sort(key[(x[:-1] >= 0) & (x[1:] >= 0)])
-        if not len(good):
-            break
-        cut = np.flatnonzero(np.concatenate([[True], good[1:] != good[:-1]]))
-        pairs, n = good[cut], np.diff(np.concatenate([cut, [len(good)]]))
-        bound = max(least, int(n.max()) // 8)
-        often = n >= bound
-        if n.max() < least:
+        key = x[:-1].astype(np.int64) << 32
+        key |= x[1:].view(np.uint32)
+        good = np.sort(key)
+        cut = np.flatnonzero(good[1:] != good[:-1]) + 1
+        cut = np.concatenate([[0], cut])
+        n = np.diff(np.concatenate([cut, [len(good)]]))
+        some = np.flatnonzero(n >= least)
+        pairs, n = good[cut[some]], n[some]
+        within = (pairs >= 0) & ((pairs & 0xFFFFFFFF) != 0xFFFFFFFF)
+        pairs, n = pairs[within], n[within]
+        if not len(n):
             break
+        often = n >= max(least, int(n.max()) // 16)
         pairs, n = pairs[often], n[often]
         pairs = pairs[np.argsort(-n, kind="stable")]
-        side = np.zeros(top, np.int8)  # 1: left of pairs, 2: right, 3: doubled
+        side = np.zeros(top + 1, np.int8)  # the last for -1; 1: left of pairs, 2: right, 3: doubled
         taken = []
         for p, a, b in zip(pairs.tolist(), (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):  # noqa: B905
             if a == b:
@@ -125,11 +145,13 @@ def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) ->
                 side[a], side[b] = 1, 2
                 taken.append(p)
         accepted = np.sort(np.array(taken, np.int64))
-        sides = np.where(x >= 0, side[x], 0)
-        at = np.flatnonzero(((sides[:-1] == 1) & (sides[1:] == 2)) | ((sides[:-1] == 3) & (x[:-1] == x[1:])))
-        k = np.searchsorted(accepted, key[at])
+        sides = side[x]
+        left, right = sides[:-1], sides[1:]
+        at = np.flatnonzero(((left == 1) & (right == 2)) | ((left == 3) & (right == 3)))
+        key = key[at]
+        k = np.searchsorted(accepted, key)
         k[k == len(accepted)] = 0
-        hit = accepted[k] == key[at]
+        hit = accepted[k] == key
         at, k = at[hit], k[hit]
         double = sides[at] == 3
         if double.any():  # of a run only every other place
@@ -225,17 +247,18 @@ def shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard: int = SHARD) ->
         table_ = pieces(vocabulary)
         names, parts, size, k, task = [], [], 0, 0, TaskContext.get().partitionId()
         for b in batches:
-            for i, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
-                names.append(None if i is None or i != i else int(i))
-                parts.append(table_.ids(text) if text else np.zeros(0, np.int32))
-                size += len(parts[-1])
+            found = (x for lo, hi in chunks(len(b), 512) for x in table_.ids(b["text"].iloc[lo:hi].tolist()))
+            for i, part in zip(b["doc_id"].tolist(), found, strict=True):
+                names.append(None if i is None else int(i))
+                parts.append(part)
+                size += len(part)
                 if size >= shard:
                     yield _shard(f"{task:06d}-{k:06d}", names, parts)
                     names, parts, size, k = [], [], 0, k + 1
         if names:
             yield _shard(f"{task:06d}-{k:06d}", names, parts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
