@@ -23,6 +23,19 @@ def coverage(cases: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     return loose.union(bare)
 
 
+def reconciled(topics: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(ordinal, key, issue) of declared topics without a file, in declared order, and of files without a topic, which come last."""
+    both = topics.select(key, "ordinal").join(files.select(key).distinct().withColumn("__file", F.lit(True)), key, "full_outer")
+    issue = F.when(F.col("ordinal").isNull(), "unknown-topic").when(F.col("__file").isNull(), "missing-file")
+    return both.select("ordinal", key, issue.alias("issue")).filter("issue is not null").orderBy(F.col("ordinal").asc_nulls_last(), key)
+
+
+def pattern_counts(rows: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
+    """(pattern, matches) for each declared pattern, 0 included, in one pass over the rows."""
+    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.count_if(F.col(column).rlike(p)).alias("matches")) for n, p in sorted(patterns.items())])
+    return rows.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.*") if patterns else rows.select(F.lit("").alias("pattern"), F.lit(0).cast("long").alias("matches")).filter("false")
+
+
 def report_groups(rows: DataFrame, key: str) -> DataFrame:
     """Of rows (key, start, end, ok, severity, error): a group's span, whether all are ok, the greatest severity and the first error by start."""
     return rows.groupBy(key).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_and("ok").alias("ok"), F.max("severity").alias("severity"), F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("start", "error"))).alias("first_error"))

@@ -24,7 +24,7 @@ def valid_count(c: Column) -> Column:
 def repeated_lines(files: DataFrame, tokens: int) -> DataFrame:
     """Lines of ``tokens`` words or more that two or more files of one area share: (area, line, token_count, locations).
 
-    Only hashes of lines are shuffled; the text of a line comes from the first file that has it.
+    Shorter lines are dropped before the shuffle; longer ones are combined on the map side by (area, line).
     """
     line = files.select("area", "path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.size(F.split(F.trim("line"), " +"))

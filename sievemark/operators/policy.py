@@ -107,3 +107,9 @@ def split(records: DataFrame, view: DataFrame | None, accepted: DataFrame) -> Da
     seen = records if view is None else records.join(view.select("record_id").distinct(), "record_id", "left_semi")
     reasons = accepted.groupBy("record_id").agg(F.array_sort(F.collect_set("acceptance_id")).alias("acceptance_ids"))
     return seen.join(reasons, "record_id", "left").withColumn("section", F.when(F.col("acceptance_ids").isNull(), "warning").otherwise("accepted"))
+
+
+def exit_code(origins: DataFrame) -> DataFrame:
+    """One row (exit_code) by the gravest origin there is: configuration 3, incomplete scan 2, findings 1, none 0."""
+    any_ = lambda o: F.coalesce(F.bool_or(F.col("origin") == o), F.lit(False))
+    return origins.agg(F.when(any_("configuration"), 3).when(any_("scan"), 2).when(any_("finding"), 1).otherwise(0).cast("long").alias("exit_code"))

@@ -146,9 +146,6 @@ def changed_exact(spark, d):
     return tables.files(spark, d, False).join(tables.changed(spark, d), "path", "left_semi").select("path")
 
 
-_NEXT = "regexp_replace(text, '(^|\\n)[ ]+', '\\1', 'g')"
-
-
 @query("revision_diff", """, b AS (SELECT path, sha256(text) AS hash FROM files), a AS (SELECT path, sha256(replace(text, '!!', '!')) AS hash FROM files WHERE path NOT LIKE '%/src3/%' UNION ALL SELECT 'bench/' || item_id, sha256(text) FROM benchmark)
  SELECT path, CASE WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN 'removed' ELSE 'modified' END AS status FROM b FULL JOIN a USING (path) WHERE b.hash IS DISTINCT FROM a.hash""", True)
 def revision_diff(spark, d):
@@ -632,6 +629,23 @@ def topic_counts(spark, d):
     return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("cases"))
 
 
+@query("topic_reconciliation", "SELECT CAST(n_nationkey AS BIGINT) AS ordinal, coalesce(n_nationkey, s_nationkey) AS k, CASE WHEN s_nationkey IS NULL THEN 'missing-file' ELSE 'unknown-topic' END AS issue FROM (SELECT * FROM nation WHERE n_regionkey < 3) n FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 0) s ON s_nationkey = n_nationkey WHERE n_nationkey IS NULL OR s_nationkey IS NULL")
+def topic_reconciliation(spark, d):
+    topics = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("long").alias("ordinal"))
+    return evidence.reconciled(topics, table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("pattern_counts", "SELECT 'digits' AS pattern, count(*) FILTER (regexp_matches(text, '[0-9]{3}')) AS matches FROM documents UNION ALL SELECT 'none', count(*) FILTER (regexp_matches(text, 'never written')) FROM documents UNION ALL SELECT 'shout', count(*) FILTER (regexp_matches(text, '!!')) FROM documents")
+def pattern_counts(spark, d):
+    return evidence.pattern_counts(table(spark, d, "documents"), "text", {"digits": "[0-9]{3}", "none": "never written", "shout": "!!"})
+
+
+@query("exit_code", "SELECT CAST(CASE WHEN bool_or(o_orderstatus = 'P') THEN 2 WHEN bool_or(o_orderstatus = 'F') THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM orders")
+def exit_code(spark, d):
+    origin = F.when(F.col("o_orderstatus") == "P", "scan").when(F.col("o_orderstatus") == "F", "finding")
+    return policy.exit_code(table(spark, d, "orders").select(origin.alias("origin")))
+
+
 @query("report_groups", "SELECT user_id, min(ts) AS start, max(ts) AS \"end\", bool_and(event_type <> 'error') AS ok, max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) AS severity, min_by(CASE WHEN event_type = 'error' THEN event_id END, ts) FILTER (event_type = 'error') AS first_error FROM events GROUP BY 1")
 def report_groups(spark, d):
     e = table(spark, d, "events")
