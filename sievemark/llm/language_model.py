@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, chunks, hashed, materialise, table
+from sievemark.llm.common import Memo, chunks, hashing, materialise, table
 from sievemark.llm.decontamination import _sum_chunks
 
 BITS = 17
@@ -31,7 +31,9 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 BURN, SAMPLES = 2, 3
 EXACT = 64
 #: Tokens a task holds before it hands on their counts.
-HELD = 4_000_000
+HELD = 1_500_000
+#: Texts whose pairs a task holds at once in scoring.
+TEXTS = 2048
 _STEP = 8192
 
 
@@ -70,9 +72,9 @@ def bigrams(texts, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
         ids = ids[ids >= 0]
         if len(ids):
             keys.append(np.concatenate([[START], ids]) * SIZE + np.concatenate([ids, [END]]))
-            rows.append(np.full(len(ids) + 1, k))
+            rows.append(np.full(len(ids) + 1, k, np.int32))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *keys]), np.concatenate([none, *rows])
+    return np.concatenate([none, *keys]), np.concatenate([none.astype(np.int32), *rows])
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -186,7 +188,7 @@ def train(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, held, n = Memo(lambda t: hashed(t, BITS)), [], 0
+        memo, held, n = hashing(BITS), [], 0
 
         def flush() -> pd.DataFrame:
             keys, times = np.unique(np.concatenate(held), return_counts=True)
@@ -280,9 +282,9 @@ def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(model.shared())  # 2 * samples + 1 vectors of the vocabulary's size
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, task, k = Memo(lambda t: hashed(t, BITS)), TaskContext.get().partitionId(), 0
+        memo, task, k = hashing(BITS), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo, hi in chunks(len(b), 8192):
+            for lo, hi in chunks(len(b), TEXTS):
                 part, name = b.iloc[lo:hi], f"{task}-{k}"
                 k += 1
                 keys, rows = bigrams(part["text"], memo)
@@ -293,7 +295,7 @@ def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
                 ps, first = np.unique(p[order], return_index=True)
                 cuts = np.split(order, first[1:]) if len(order) else []
                 known = part["doc_id"].notna().to_numpy()
-                ids = part["doc_id"].fillna(0).to_numpy(np.int64)
+                ids = np.array([int(i) if i is not None else 0 for i in part["doc_id"]], np.int64)
                 sizes = np.bincount(rows, minlength=len(part))
                 yield pd.DataFrame({
                     "p": [*ps, -1 - (hash_name(name) % parts)], "name": name, "keys": [*(pack_keys(keys[c]) for c in cuts), ids.tobytes()],
@@ -336,7 +338,7 @@ def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
         doc[~known] = pd.NA
         return pd.DataFrame({"doc_id": doc, "tokens": sizes, "log_probability": total})
 
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(spread, "p long, name string, keys binary, rows binary, sizes binary")
+    tokens = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(spread, "p long, name string, keys binary, rows binary, sizes binary")
     looked = tokens.groupBy("p").cogroup(model.sections.groupBy("p")).applyInPandas(lambda a, b: look_up(b, a), "name string, texts binary, logs binary, ids binary, known binary, sizes binary")
     summed = looked.groupBy("name").applyInPandas(gather, "doc_id long, tokens long, log_probability double")
     return summed.withColumn("perplexity", F.when(F.col("tokens") > 0, F.exp(-F.col("log_probability") / F.col("tokens"))))
