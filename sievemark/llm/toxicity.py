@@ -109,14 +109,15 @@ def screen(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int)
 def cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int) -> float:
     """The logit at which documents that the fit hasn't seen are told apart best: two halves score each other, and a clean
     document's loss counts FALSE_COST times a toxic one's escape."""
-    half = np.arange(len(y)) % 2 == 0  # rows are sorted by class, so both halves have each
+    first = slice(0, -(-len(y) // 2))  # slices, so that nothing is copied
+    second = slice(first.stop, len(y))
     z = np.zeros(len(y))
-    for own in (half, ~half):
+    for own, other in ((first, second), (second, first)):
         if len(set(y[own].tolist())) < 2:
             return 0.0
         b, w, v = train(x[own], y[own], weight[own], factors)
-        s = x[~own] @ v
-        z[~own] = b + x[~own] @ w + 0.5 * ((s * s).sum(1) - x[~own] @ (v * v).sum(1))
+        s = x[other] @ v
+        z[other] = b + x[other] @ w + 0.5 * ((s * s).sum(1) - x[other] @ (v * v).sum(1))
     options = np.linspace(-1.5, 0.5, 41)
     gain = [(z[y == 1] > t).mean() - FALSE_COST * (z[y == 0] > t).mean() for t in options]
     best = np.flatnonzero(np.isclose(gain, max(gain)))
@@ -128,11 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
     rows, weights = labelled_sample(docs, labels.filter(F.col(target).isin(0, 1)), target, sample)
     if len(weights) < 2:
         return None
-    got = rows.mapInPandas(_terms(bits), "y int, terms array<int>").toPandas()
-    if got["y"].nunique() < 2:
+    got = rows.mapInPandas(_terms(bits), "y int, terms array<int>").toArrow().combine_chunks()
+    ys = got["y"].to_numpy()
+    if len(set(ys.tolist())) < 2:
         return None
-    rows_ = sorted(((int(y), np.asarray(t, np.int32)) for y, t in zip(got["y"], got["terms"], strict=True)), key=lambda r: (r[0], r[1].tobytes()))  # the same order on any layout
-    y, lists = np.array([r[0] for r in rows_], np.float32), [r[1] for r in rows_]
+    terms_of = got["terms"].combine_chunks()
+    values, at = terms_of.flatten().to_numpy(), np.concatenate([[0], np.cumsum(terms_of.value_lengths().to_numpy())])
+    order = sorted(range(len(ys)), key=lambda k: (ys[k], values[at[k] : at[k + 1]].tobytes()))  # the same on any layout
+    order = order[::2] + order[1::2]  # either half has its share of both classes
+    y, lists = ys[order].astype(np.float32), [values[at[k] : at[k + 1]] for k in order]
     weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))  # both classes count the same
     keep = screen(lists, y, weight, terms)
     x = np.zeros((len(y), len(keep)), np.float32)
