@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import MEMO_ENTRIES, chunks, table
+from sievemark.llm.common import chunks, table
 
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Nonterminals begin here; the vocabulary's ids are below.
@@ -29,6 +29,8 @@ FIRST_RULE = 50_257
 SHARD = 1_000_000
 #: A pair of fewer occurrences isn't replaced: its rule would cost more than it saves.
 LEAST = 4
+#: Pieces that a worker remembers before it begins anew.
+PIECES = 1_000_000
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What a text of single spaces and line feeds between words doesn't hold.
 _IRREGULAR = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("  ", "\n\n", " \n", "\n ")
@@ -48,7 +50,7 @@ class Pieces:
     """Ids of texts, from a table of the pieces met so far.
 
     A single space always begins a piece of the vocabulary's pattern, so the spans between single spaces are encoded apart, once
-    each; texts with other runs of white space are encoded whole. Emptied beyond MEMO_ENTRIES, which changes no result.
+    each; texts with other runs of white space are encoded whole. Emptied beyond PIECES, which changes no result.
     """
 
     def __init__(self, path: str):
@@ -57,7 +59,7 @@ class Pieces:
         self.flat, self.used, self.first, self.count = np.zeros(1 << 20, np.int32), 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def learn(self, new: set[str]) -> None:
-        if len(self.at) > MEMO_ENTRIES:
+        if len(self.at) > PIECES:
             self.at.clear()
             self.used = 0
         starts = [p for p in new if p[:1] == " "]
@@ -98,7 +100,7 @@ class Pieces:
         try:
             which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self.learn(set(words).difference(self.at) if len(self.at) <= MEMO_ENTRIES else set(words))
+            self.learn(set(words).difference(self.at) if len(self.at) <= PIECES else set(words))
             which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         n = self.count[which]
         flat = self.flat[np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -131,7 +133,7 @@ def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) ->
         pairs, n = pairs[within], n[within]
         if not len(n):
             break
-        often = n >= max(least, int(n.max()) // 16)
+        often = n >= max(least, int(n.max()) // 48)
         pairs, n = pairs[often], n[often]
         pairs = pairs[np.argsort(-n, kind="stable")]
         side = np.zeros(top + 1, np.int8)  # the last for -1; 1: left of pairs, 2: right, 3: doubled
