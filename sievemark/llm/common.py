@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's token memo may hold before it is emptied; it only saves time, never changes a value.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
