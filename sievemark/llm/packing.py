@@ -24,7 +24,7 @@ WINDOW = 2048
 DEPTH = 3
 STEPS = 150
 #: A run of characters that aren't white space in Unicode's sense.
-WORD = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WORD = r"(?U)\S+"
 
 
 @lru_cache(maxsize=2)
