@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the idf.
-2. The benchmark's passages (items, long ones cut) are TF-IDF rows; a randomised SVD, whose products run over the
-   distributed passages, gives the latent space and each passage's place in it.
+2. The benchmark's passages (items, long ones cut) are TF-IDF rows in blocks of RANK; a randomised SVD of each block, whose
+   products run over the distributed passages, gives a latent space and each passage's place in it. A block has no more
+   passages than its space has dimensions, so no passage loses any part of itself however large the benchmark is.
 3. Every window of WINDOW words, a new one each STRIDE words, of every document is folded into that space; passages whose
    cosine reaches COSINE are candidates. A bound (the sum over the window's words of the most that any passage gives the
    word) tells which windows can reach it; the others aren't folded.
@@ -26,13 +27,14 @@ from sievemark.llm.common import Memo, chunks, flatten, hashing, table
 
 BITS = 18
 WINDOW, STRIDE = 48, 16
+#: Dimensions of a latent space, and the most passages that share one.
 RANK = 256
 COSINE = 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: Shorter items can't be told from chance and aren't searched.
 MIN_WORDS = 8
 #: Passages searched in one pass over the documents; a larger benchmark takes more passes.
-AT_ONCE = 20_000
+AT_ONCE = 4096
 _ANSWER_MARK = re.compile(r"(?:^|\s)(?:answer|a)\s*:\s*", re.I)
 _PART = 4096
 
@@ -110,7 +112,7 @@ def common_length(needle: np.ndarray, hay: np.ndarray) -> int:
 
 @dataclass
 class Index:
-    """idf by bucket; slot: row of ``basis`` of a bucket, or -1; place: each passage in the latent space, of length 1 or less."""
+    """Of one block. idf by bucket; slot: row of ``basis`` of a bucket, or -1; place: each passage in the latent space, of length 1."""
 
     idf: np.ndarray
     slot: np.ndarray
@@ -127,15 +129,10 @@ class Index:
             if len(self.place):
                 self.most[lo:hi] = np.maximum(0, (self.basis[lo:hi] @ self.place.T).max(1))
 
-    def leaks(self, texts, memo: Memo, cosine: float = COSINE) -> list[tuple]:
-        """(row, item, cosine, lcs share, answer share) of every leak, the best of each (row, item)."""
-        found: dict[tuple, tuple] = {}
-        ids, sizes = flatten(texts, memo)
-        rows = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0]
-        ids = ids[ids >= 0]
+    def search(self, ids: np.ndarray, n: np.ndarray, cosine: float, found: dict[tuple, tuple]) -> None:
+        """Adds to ``found`` the (lcs share, cosine, answer share) of every leak, the best of each (row, item). ids: words of all rows; n: words of each."""
         if not len(ids) or not len(self.place):
-            return []
-        n = np.bincount(rows, minlength=len(sizes))
+            return
         start = np.cumsum(n) - n
         nb = -(-n // STRIDE)
         base = np.cumsum(nb) - nb
@@ -185,7 +182,18 @@ class Index:
                     best = (share, float(score[i, p]), said)
                     if best > found.get((row, item), (-1.0, 0.0, 0.0)):
                         found[row, item] = best
-        return [(int(row), item, cos, share, said) for (row, item), (share, cos, said) in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1])))]
+
+
+def search(blocks: list[Index], texts, memo: Memo, cosine: float = COSINE) -> list[tuple]:
+    """(row, item, cosine, lcs share, answer share) of every leak of any block, the best of each (row, item)."""
+    found: dict[tuple, tuple] = {}
+    ids, sizes = flatten(texts, memo)
+    rows = np.repeat(np.arange(len(sizes)), sizes)[ids >= 0]
+    ids = ids[ids >= 0]
+    n = np.bincount(rows, minlength=len(sizes))
+    for index in blocks:
+        index.search(ids, n, cosine, found)
+    return [(int(row), item, cos, share, said) for (row, item), (share, cos, said) in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
 def randomised_svd(rows: DataFrame, features: np.ndarray, idf: np.ndarray, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
@@ -229,8 +237,19 @@ def tf_idf(ids: np.ndarray, features: np.ndarray, weight: np.ndarray) -> tuple[n
     return at, (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
 
 
-def indexes(texts: DataFrame, benchmark: DataFrame, rank: int = RANK, bits: int = BITS) -> list[Index]:
-    """Of the benchmark (item_id, text) against the documents ``texts``; one for each AT_ONCE passages."""
+def passes(items: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``most`` passages at most, none of which parts an item's passages unless one item alone has more."""
+    starts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+    cuts = [0]
+    for lo, hi in zip(starts, [*starts[1:], len(items)], strict=True):
+        if hi - cuts[-1] > most and lo > cuts[-1]:
+            cuts.append(int(lo))
+    return list(zip(cuts, [*cuts[1:], len(items)], strict=True))
+
+
+def indexes(texts: DataFrame, benchmark: DataFrame, rank: int = RANK, bits: int = BITS) -> list[list[Index]]:
+    """Of the benchmark (item_id, text) against the documents ``texts``: for each pass, of AT_ONCE passages, its blocks of ``rank``."""
+    spark = texts.sparkSession
     idf = inverse_frequencies(texts, bits)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,26 +258,26 @@ def indexes(texts: DataFrame, benchmark: DataFrame, rank: int = RANK, bits: int
             yield pd.DataFrame(got, columns=["item_id", "ids", "answer"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    rows = items.mapInPandas(cut, "item_id long, ids array<int>, answer array<int>")
-    got = rows.toPandas()
+    got = items.mapInPandas(cut, "item_id long, ids array<int>, answer array<int>").toPandas()
     if not len(got):
         return []
     got["key"] = [(i, *np.asarray(p).tolist()) for i, p in zip(got["item_id"], got["ids"], strict=True)]
     got = got.sort_values("key").drop_duplicates("key").reset_index(drop=True)
-    features = np.unique(np.concatenate([np.asarray(p, np.int64) for p in got["ids"]]))
-    basis = randomised_svd(rows, features, idf, min(rank, len(got)))
-    slot = np.full(1 << bits, -1, np.int32)
-    slot[features] = np.arange(len(features))
-    out = []
-    for lo, hi in chunks(len(got), AT_ONCE):
-        part = got.iloc[lo:hi]
+
+    def block(part: pd.DataFrame) -> Index:
+        features = np.unique(np.concatenate([np.asarray(p, np.int64) for p in part["ids"]]))
+        rows = spark.createDataFrame([(np.asarray(p).tolist(),) for p in part["ids"]], "ids array<int>")
+        basis = randomised_svd(rows, features, idf, len(part))
+        slot = np.full(1 << bits, -1, np.int32)
+        slot[features] = np.arange(len(features))
         place = np.zeros((len(part), basis.shape[1]), np.float32)
         for k, ids in enumerate(part["ids"]):
             at, x = tf_idf(np.asarray(ids, np.int64), features, idf[features])
             place[k] = x @ basis[at]
         listed = [(int(i), np.asarray(p, np.int64), np.asarray(a, np.int64)) for i, p, a in zip(part["item_id"], part["ids"], part["answer"], strict=True)]
-        out.append(Index(idf.astype(np.float64), slot, basis, place, listed, bits))
-    return out
+        return Index(idf.astype(np.float64), slot, basis, place, listed, bits)
+
+    return [[block(got.iloc[lo + a : lo + b]) for a, b in chunks(hi - lo, rank)] for lo, hi in passes(got["item_id"].to_numpy(), AT_ONCE)]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -276,19 +295,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     # ids travel as text, since pandas would make a column with nulls doubles
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    for index in indexes(_texts(docs), benchmark, rank, bits):
-        shared = spark.sparkContext.broadcast(index)  # grows with the benchmark, AT_ONCE passages at most; not with the documents
+    for blocks in indexes(_texts(docs), benchmark, rank, bits):
+        shared = spark.sparkContext.broadcast(blocks)  # grows with the benchmark, AT_ONCE passages at most; not with the documents
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            memo = hashing(index.bits)
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            blocks = shared.value
+            memo = hashing(blocks[0].bits)
             for b in batches:
                 ids = b["doc_id"].tolist()
                 for lo, hi in chunks(len(b), 256):
-                    got = index.leaks(b["text"].iloc[lo:hi], memo, cosine)
+                    got = search(blocks, b["text"].iloc[lo:hi], memo, cosine)
                     yield pd.DataFrame([(None if ids[lo + r] is None else int(ids[lo + r]), *rest) for r, *rest in got], columns=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"]).astype({"doc_id": "Int64"})
 
-        part = rows.mapInPandas(search, schema)
+        part = rows.mapInPandas(find, schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -296,22 +315,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item in the sense of ``leaks``."""
     found = indexes(_texts(docs), benchmark)
-    for index in found:
-        docs = docs.filter(~_holds(docs.sparkSession, index, cosine)(F.col("text").cast("string")))
+    for blocks in found:
+        docs = docs.filter(~_holds(docs.sparkSession, blocks, cosine)(F.col("text").cast("string")))
     return docs
 
 
-def _holds(spark: SparkSession, index: Index, cosine: float):
-    shared = spark.sparkContext.broadcast(index)
+def _holds(spark: SparkSession, blocks: list[Index], cosine: float):
+    shared = spark.sparkContext.broadcast(blocks)
 
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = shared.value
-        memo = hashing(index.bits)
+        blocks = shared.value
+        memo = hashing(blocks[0].bits)
         for texts in batches:
             hit = np.zeros(len(texts), bool)
             for lo, hi in chunks(len(texts), 256):
-                hit[[lo + r for r, *_ in index.leaks(texts.iloc[lo:hi], memo, cosine)]] = True
+                hit[[lo + r for r, *_ in search(blocks, texts.iloc[lo:hi], memo, cosine)]] = True
             yield pd.Series(hit)
 
     return holds

@@ -238,6 +238,20 @@ def test_decontamination_finds_planted_items_and_leaves_others(spark, awkward):
     assert decontamination.leaks(d, bench.limit(0)).count() == 0 and decontamination.clean(d, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_finds_verbatim_items_of_a_benchmark_larger_than_the_rank(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    items = [(i, prose(rng.randint(15, 48))) for i in range(1200)]
+    rows = [(i, f"{prose(40)} {t} {prose(40)}") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, rows), bench).collect()}
+    assert got >= {(i, i) for i, _ in items}
+
+
+def test_passes_keep_an_items_passages_together():
+    assert decontamination.passes(np.array([1, 1, 2, 2, 2, 2, 3, 4]), 3) == [(0, 2), (2, 6), (6, 8)]
+
+
 def test_randomised_svd_spans_the_exact_space(spark):
     rng = np.random.default_rng(3)
     rows = [sorted(rng.choice(60, 12).tolist()) for _ in range(20)]
