@@ -3,7 +3,9 @@
 Every word 3-gram of a text is hashed once; the hash picks a bin and competes for its minimum. Empty bins borrow from a bin
 chosen by a universal hash of (bin, attempt). BANDS bands of ROWS bins are bucket keys; in a bucket each document is
 linked with the bucket's least doc_id only, so a bucket of n documents has n - 1 edges. Edges whose signatures agree are
-checked by the exact Jaccard similarity of the 3-gram sets, and connected components are the groups.
+checked by the exact Jaccard similarity of the 3-gram sets. Where an edge of a bucket doesn't hold, the bucket's documents may
+still be near copies of one another: all its pairs that aren't connected yet are compared by signature, and those that agree
+are checked too. So every two documents of a bucket are compared or connected. Connected components are the groups.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ BANDS, ROWS = 32, 3
 BINS = BANDS * ROWS
 #: Signatures of this much less than the threshold are not checked in full: over three standard errors of a 96-bin estimate.
 MARGIN = 0.17
+#: Documents of a bucket that a task compares with as many others at once; a larger bucket is parted among tasks.
+BLOCK = 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -116,21 +120,71 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"hub": b["hub"], "id": b["id"], "jaccard": out})
 
 
+def _unconnected(threshold: float):
+    """Pairs of different root whose signatures agree, in rows sorted by (bucket, i, j): within block i where i = j, else of block i with block j."""
+
+    def within(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, roots, block = (g[c].to_numpy(np.int64) for c in ("id", "root", "block"))
+        if (roots == roots[0]).all():
+            return
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, BINS)
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for lo, hi in chunks(len(left), max(1, 32_768 // max(1, len(right)))):
+            at = left[lo:hi]
+            open_ = roots[at][:, None] != roots[right][None]
+            if i == j:
+                open_ &= at[:, None] < right[None]
+            x, y = np.nonzero(open_)
+            x, y = at[x], right[y]
+            ok = (sig[x] == sig[y]).mean(1) >= threshold - MARGIN
+            if ok.any():
+                x, y = ids[x[ok]], ids[y[ok]]
+                yield pd.DataFrame({"hub": np.minimum(x, y), "id": np.maximum(x, y)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            keys = b[["bucket", "i", "j"]].to_numpy(np.int64)
+            starts = [0, *(1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1))).tolist()]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                yield from within(b.iloc[lo:hi])
+            rest = b.iloc[starts[-1] :]
+        if rest is not None and len(rest):
+            yield from within(rest)
+
+    return run
+
+
 def pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(hub, id, jaccard) of the candidate edges that hold, hub < id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).dropna()
     signed = materialise(texts.mapInPandas(_sign, "id long, bands array<long>, sig binary"), "minhash")
     buckets = signed.select("id", F.explode("bands").alias("bucket"))
-    star = buckets.withColumn("hub", F.min("id").over(Window.partitionBy("bucket"))).filter("hub < id").select("hub", "id").distinct()
+    star = materialise(buckets.withColumn("hub", F.min("id").over(Window.partitionBy("bucket"))).filter("hub < id").distinct(), "minhash-star")
     mine, hubs = signed.select("id", "sig"), signed.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
     alike = F.pandas_udf(_estimate, "double")
-    edges = star.join(mine, "id").join(hubs, "hub").filter(alike("sig", "hub_sig") >= threshold - MARGIN).select("hub", "id").distinct()
-    edges = materialise(edges, "minhash-edges")
-    ends = edges.select("id").union(edges.select("hub")).distinct()
-    bodies = materialise(bloom.narrowed(texts, ends, ["id"]), "minhash-bodies")
-    both = edges.join(bodies, "id").join(bodies.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    checked = both.mapInPandas(_verify, "hub long, id long, jaccard double").filter(F.col("jaccard") >= threshold)
-    return checked.groupBy("hub", "id").agg(F.max("jaccard").alias("jaccard"))
+
+    def verified(edges: DataFrame) -> DataFrame:
+        ends = edges.select("id").union(edges.select("hub")).distinct()
+        bodies = materialise(bloom.narrowed(texts, ends, ["id"]), "minhash-bodies")
+        both = edges.join(bodies, "id").join(bodies.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        checked = both.mapInPandas(_verify, "hub long, id long, jaccard double").filter(F.col("jaccard") >= threshold)
+        return materialise(checked.groupBy("hub", "id").agg(F.max("jaccard").alias("jaccard")), "minhash-verified")
+
+    edges = star.select("hub", "id").distinct().join(mine, "id").join(hubs, "hub").filter(alike("sig", "hub_sig") >= threshold - MARGIN).select("hub", "id").distinct()
+    first = verified(materialise(edges, "minhash-edges"))
+    # buckets with an edge that doesn't hold and more than one document besides the hub, which is compared with all
+    held = star.join(first.select("hub", "id", F.lit(1).alias("held")), ["hub", "id"], "left")
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n"), F.count("held").alias("held")).filter("n > 1 and held < n").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    members = star.select("bucket", "id").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    members = members.join(components(first), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(mine, "id")
+    spread = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = materialise(spread.mapInPandas(_unconnected(threshold), "hub long, id long").distinct(), "minhash-more")
+    return first.union(verified(more))
 
 
 def components(edges: DataFrame) -> DataFrame:

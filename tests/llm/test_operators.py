@@ -331,6 +331,24 @@ def test_near_dedup_against_brute_force(spark, awkward):
     assert near_dedup.near_duplicates(docs(spark, []).limit(0)).count() == 0 if rows else True
 
 
+def test_near_dedup_finds_copies_whose_hub_is_none(spark, monkeypatch):
+    """Documents share more than half of their words, any two at a Jaccard similarity below the threshold but the planted ones."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    common = prose(120)
+    rows = [(i, " ".join(common + prose(80))) for i in range(300)]
+    want = set()
+    for k in range(60):
+        own = prose(80)
+        rows += [(1000 + 2 * k, " ".join(common + own)), (1001 + 2 * k, " ".join(common + own[:20] + prose(60)))]
+        if _jaccard(rows[-2][1], rows[-1][1]) >= near_dedup.THRESHOLD:
+            want.add((1001 + 2 * k, 1000 + 2 * k))
+    assert len(want) == 60
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)  # buckets are parted
+    got = {(r["doc_id"], r["kept_doc_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_signatures_estimate_similarity_and_fill_every_bin():
     rng = random.Random(13)
     memo = common.Memo(near_dedup.token_hash)
