@@ -68,7 +68,7 @@ def read(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
     lines = text.split("\n")[:-1]
     if any(not s.strip() for s in lines):
         raise ValueError("framing: blank line")
-    schema = spark.read.json(spark.sparkContext.parallelize(lines[:1000])).schema if lines else None
+    schema = spark.read.json(spark.sparkContext.parallelize(lines)).schema if lines else None
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "ordinal long, line string")
     got = rows.select("ordinal", F.col("line").alias("row"), F.get_json_object("line", "$.record_id").alias("record_id"))
     if got.filter("record_id is null").limit(1).count():

@@ -295,3 +295,11 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(rel.columns) == cols
     theirs = sorted((tuple(map(_cell, r)) for r in con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({Q.SQL[name]})").fetchall()), key=str)
     assert mine == theirs
+
+
+def test_published_columns_that_are_null_in_the_first_thousand_records_keep_their_type(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("format_string('r%05d', id) AS record_id", "if(id < 1100, null, id + 0.5D) AS late", "if(id < 1100, null, named_struct('a', id)) AS nested")
+    publication.publish(rows, {}, str(tmp_path))
+    got = publication.read(spark, str(tmp_path))[1]
+    assert dict(got.dtypes)["late"] == "double" and dict(got.dtypes)["nested"] == "struct<a:bigint>"
+    assert [tuple(r) for r in got.filter("record_id = 'r01150'").select("late", "nested.a").collect()] == [(1150.5, 1150)]
