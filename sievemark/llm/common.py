@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's token memo may hold before it is emptied; it only saves time, never changes a value.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -24,21 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor of a cluster sees.
 
-    Only where that setting is missing (local tests) a temporary folder becomes the checkpoint folder.
+    Only where that setting is missing in local mode (tests) a temporary folder becomes the checkpoint folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sievemark-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again. Survives the loss of any executor."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, which cuts the lineage and survives the loss of any executor; and its path."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    return written(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate that no plan will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -71,15 +83,21 @@ class Memo(dict):
         return value
 
 
-_MEMOS: dict[tuple, Memo] = {}
+_MEMOS: dict[object, Memo] = {}
+
+
+def memo_of(name, compute) -> Memo:
+    """One table for all tasks of a worker process."""
+    if name not in _MEMOS:
+        _MEMOS.clear()  # a worker serves one operator at a time
+        _MEMOS[name] = Memo(compute)
+    return _MEMOS[name]
 
 
 def hashing(bits: int) -> Memo:
-    """token -> ``hashed(token, bits)``, one table for all tasks of a worker process."""
-    if bits not in _MEMOS:
-        mask = (1 << bits) - 1
-        _MEMOS[bits] = Memo(lambda t: crc(w) & mask if (w := normal(t)) else -1)
-    return _MEMOS[bits]
+    """token -> ``hashed(token, bits)``."""
+    mask = (1 << bits) - 1
+    return memo_of(bits, lambda t: crc(w) & mask if (w := normal(t)) else -1)
 
 
 def crc(word: str, seed: int = 0) -> int:

@@ -1,13 +1,16 @@
-"""LM scoring: a hierarchical Pitman-Yor bigram model over hashed words.
-
-Restaurants: one for every context word; all of them share one parent, the unigram restaurant, whose base is uniform. A section
-(u, w) is the customers of dish w in context u. Given the rest, the number of its tables is drawn from its exact conditional
-(generalised Stirling numbers sum out who sits where) up to EXACT customers; larger sections seat customers in turn, in chunks
-of an eighth of those seated. Every table is a customer of the parent. A sweep draws all sections at once given the last
-sweep's totals of each context (parallel Gibbs); then the parent is drawn. After BURN sweeps, SAMPLES sweeps are averaged.
-
-Sections are spread by a hash of (u, w), so that a frequent context isn't one task's work; what all tasks share are vectors of
-the vocabulary's fixed size. Counts travel as sorted key arrays, and every sweep's seating is written to the shared folder.
+"""LM scoring: a hierarchical Pitman-Yor bigram model over an open vocabulary.
+
+Restaurants: one for every context word; all of them share one parent, the unigram restaurant, whose base is uniform over the
+corpus' words and one more for all words never seen. A section (u, w) is the customers of dish w in context u. Given the rest,
+the number of its tables is drawn from its exact conditional (generalised Stirling numbers sum out who sits where) up to EXACT
+customers; larger sections seat customers in turn, in chunks of a 64th of those seated. Every table is a customer of the parent.
+A sweep draws all sections at once given the last sweep's totals (parallel Gibbs). After BURN sweeps, SAMPLES are averaged.
+
+Words are known by WORD_BITS bits of a hash, so the vocabulary grows with the corpus (of 10 million words about 45 pairs share a
+code). Nothing of the vocabulary's size is broadcast or collected: sections lie in parts by a hash of (u, w), whose number grows
+with the text, so that a frequent context or word isn't one task's work; what is known of words lies in as many ranges of codes.
+In a sweep every part reports its tables to the words' ranges, a range draws its words' tables in the parent and replies to each
+part, and the parts draw. Arrays travel as byte planes, sorted ones as differences.
 """
 
 from __future__ import annotations
@@ -16,65 +19,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, chunks, hashing, materialise, table
-from sievemark.llm.decontamination import _sum_chunks
+from sievemark.llm.common import Memo, chunks, memo_of, normal, remove, table, written
+from sievemark.llm.near_dedup import _ODD, _mix
 
-BITS = 17
-#: Word buckets, then the start of a text, then its end.
-START, END = 1 << BITS, (1 << BITS) + 1
-SIZE = END + 1
+WORD_BITS = 40
+#: Codes of a text's start and end; words' codes follow.
+START, END = 0, 1
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN, SAMPLES = 2, 3
 EXACT = 64
+#: Bytes of text whose sections make a part on average, and the least number of parts.
+PART_BYTES, LEAST_PARTS = 16 << 20, 8
 #: Tokens a task holds before it hands on their counts.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Texts whose pairs a task holds at once in scoring.
 TEXTS = 2048
-_STEP = 8192
+_ROW = "p long, kind int, name string, blobs array<binary>, a long, b long"
+_COLUMNS = ["p", "kind", "name", "blobs", "a", "b"]
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Rising keys below 2**40 as the byte planes of their differences."""
-    d = np.diff(keys, prepend=0).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more as byte planes, as many as the greatest needs."""
+    x = np.ascontiguousarray(x, "<u8")
+    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([k]) + x.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(5, -1)
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
     wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :5] = planes.T
-    return np.cumsum(wide.view("<u8").ravel().astype(np.int64))
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
+def pack_rising(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=0))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
+
+
+def word_code(raw: str) -> int:
+    """Code of a token's normal form, -1 where nothing but punctuation is left."""
+    word = normal(raw)
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % ((1 << WORD_BITS) - 2) + 2 if word else -1
+
 
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _mix(u.astype(np.uint64) * _ODD[0] + w.astype(np.uint64) * _ODD[1])
 
-def pack_counts(n: np.ndarray) -> bytes:
-    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (_mix(keys ^ _ODD[2]) % np.uint64(parts)).astype(np.int64)
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """What tells the sections of a part apart."""
+    return (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
-def where(keys: np.ndarray, parts: int) -> np.ndarray:
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
+def groups(sorted_: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, where it stands) of sorted values."""
+    values, first = np.unique(sorted_, return_index=True)
+    for v, lo, hi in zip(values.tolist(), first, [*first[1:], len(sorted_)], strict=True):
+        yield v, slice(lo, hi)
 
-def bigrams(texts, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each pair of neighbours, its text's number); a text without words has none."""
-    keys, rows = [], []
+
+def by_range(words: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    yield from groups(words // ((1 << WORD_BITS) // ranges + 1))
+
+
+def bigrams(texts, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first code, second code, its text's number) of each pair of neighbours; a text without words has none."""
+    us, ws, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for k, text in enumerate(texts):
         words = text.split() if text else ()
         ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         ids = ids[ids >= 0]
         if len(ids):
-            keys.append(np.concatenate([[START], ids]) * SIZE + np.concatenate([ids, [END]]))
+            us.append(np.concatenate([[START], ids]))
+            ws.append(np.concatenate([ids, [END]]))
             rows.append(np.full(len(ids) + 1, k, np.int32))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *keys]), np.concatenate([none.astype(np.int32), *rows])
+    return np.concatenate(us), np.concatenate(ws), np.concatenate(rows)
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -95,13 +127,12 @@ def draw_tables(c: np.ndarray, rest: np.ndarray, base: np.ndarray, rng: np.rando
     """Tables of sections of c customers, where the restaurant's other sections have ``rest`` tables and the parent gives the dish ``base``."""
     t = np.minimum(c, 1).astype(np.int64)
     order = np.argsort(c, kind="stable")
-    values, first = np.unique(c[order], return_index=True)
     table_of = _STIRLING if d == DISCOUNT else log_stirling(EXACT, d)
-    for n, rows in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+    for n, at in groups(c[order]):
         if n < 2 or n > EXACT:
             continue
-        k = np.arange(1, n + 1)
-        for lo, hi in chunks(len(rows), max(1, (1 << 21) // n)):
+        rows, k = order[at], np.arange(1, n + 1)
+        for lo, hi in chunks(len(rows), max(1, (1 << 19) // n)):
             r = rows[lo:hi]
             open_ = np.log(strength + d * (rest[r, None] + k - 1))
             p = table_of[n, 1 : n + 1] + np.cumsum(open_ + np.log(base[r])[:, None], 1)
@@ -110,7 +141,7 @@ def draw_tables(c: np.ndarray, rest: np.ndarray, base: np.ndarray, rng: np.rando
     large = np.flatnonzero(c > EXACT)
     seated, tables = np.ones(len(large), np.int64), np.ones(len(large), np.int64)
     while len(large):
-        step = np.minimum(np.maximum(1, seated // 8), c[large] - seated)
+        step = np.minimum(np.maximum(1, seated // 64), c[large] - seated)
         new = (strength + d * (rest[large] + tables)) * base[large]
         tables += rng.binomial(step, new / (new + seated - d * tables))
         seated += step
@@ -120,154 +151,353 @@ def draw_tables(c: np.ndarray, rest: np.ndarray, base: np.ndarray, rng: np.rando
     return t
 
 
-def _vectors(rows: DataFrame, add) -> np.ndarray:
-    """Sum over rows of ``add(row) -> (kind, places, values)``, as (kinds x SIZE)."""
+def unigram(customers: np.ndarray, tables: np.ndarray, totals: tuple[int, int], size: int) -> np.ndarray:
+    """Predictive probabilities of the parent. totals: its customers and tables in all; size: the words that have a dish."""
+    return (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * totals[1]) / (size + 1)) / (STRENGTH + totals[0])
+
+
+class Model:
+    """sections: rows of each part; kind 0: [words, u, w, customers] of its sections in order of (u, w), 1: [sum of tables over the
+    samples] of those of more than one customer, 2: from each range of codes, what is known of the part's words.
+    lexicon: a row for each range of codes. totals: (customers, tables) of the parent in each sample. size: words with a dish."""
+
+    def __init__(self, parts: int, sections: DataFrame, lexicon: DataFrame, totals: list[tuple[int, int]], size: int):
+        self.parts, self.sections, self.lexicon, self.totals, self.size = parts, sections, lexicon, totals, size
+
+
+def spread(rows: DataFrame, parts: int) -> DataFrame:
+    """By p, in as many tasks as there are parts or shuffle partitions: byte sizes, by which partitions would be coalesced, say little of the work."""
+    return rows.repartition(min(parts, max(LEAST_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "p")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _tables_of(row) -> tuple[np.ndarray, ...]:
+    words, u, w, n, *rest = row
+    return unpack_rising(words), unpack_rising(u), unpack(w), unpack(n), *map(unpack, rest)
+
+
+def _count(parts: int):
+    def flush(us: list, ws: list) -> pd.DataFrame:
+        u, w = np.concatenate(us), np.concatenate(ws)
+        words = np.unique(np.concatenate([u, w]))
+        pairs, n = np.unique(np.searchsorted(words, u) << 32 | np.searchsorted(words, w), return_counts=True)
+        u, w = words[pairs >> 32], words[pairs & 0xFFFFFFFF]
+        p = part_of(pair_keys(u, w), parts)
+        order = np.argsort(p, kind="stable")
+        rows = [(k, u[r], w[r], n[r]) for k, at in groups(p[order]) for r in (order[at],)]
+        return pd.DataFrame([(k, pack_rising(a), pack(b), pack(c)) for k, a, b, c in rows], columns=["p", "u", "w", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        memo, us, ws, held = memo_of("words", word_code), [], [], 0
         for b in batches:
-            for row in b.to_dict("records"):
-                for kind, at, value in add(row):
-                    total.setdefault(kind, np.zeros(SIZE, np.int64))
-                    total[kind] += np.bincount(at, value, SIZE).astype(np.int64)
-        for kind, v in total.items():
-            n = -(-SIZE // _STEP)
-            yield pd.DataFrame({"chunk": [kind * n + k for k in range(n)], "part": [v[k * _STEP : (k + 1) * _STEP].tobytes() for k in range(n)]})
+            for lo, hi in chunks(len(b), 512):
+                u, w, _ = bigrams(b["text"].iloc[lo:hi], memo)
+                us.append(u)
+                ws.append(w)
+                held += len(u)
+                if held >= HELD:
+                    yield flush(us, ws)
+                    us, ws, held = [], [], 0
+        if held:
+            yield flush(us, ws)
+
+    return run
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    u = np.concatenate([unpack_rising(x) for x in pdf["u"]])
+    w = np.concatenate([unpack(x) for x in pdf["w"]])
+    n = np.concatenate([unpack(x) for x in pdf["n"]])
+    words = np.unique(np.concatenate([u, w]))
+    key = np.searchsorted(words, u) << 32 | np.searchsorted(words, w)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, n = key[cut], np.add.reduceat(n, cut)
+    blobs = [pack_rising(words), pack_rising(key >> 32), pack(key & 0xFFFFFFFF), pack(n)]
+    return _frame([(pdf["p"].iloc[0], 0, "", blobs, 0, 0)])
+
+
+def _known(ranges: int):
+    """Of every part's words: customers as context, tables and dishes of sections of one customer, which never change."""
 
-    got, n = _sum_chunks(rows.mapInPandas(run, "chunk int, part binary"), np.int64), -(-SIZE // _STEP)
-    kinds = max(got, default=-1) // n + 1
-    return np.stack([np.concatenate([got.get(k * n + i, np.zeros(min(_STEP, SIZE - i * _STEP), np.int64)) for i in range(n)]) for k in range(kinds)]) if kinds else np.zeros((0, SIZE), np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, blobs in zip(b["p"], b["blobs"], strict=True):
+                words, u, w, n = _tables_of(blobs)
+                one, size = n == 1, len(words)
+                sums = [np.bincount(u, n, size).astype(np.int64), np.bincount(u[one], minlength=size), np.bincount(w[one], minlength=size)]
+                yield _frame([(q, 1, str(p), [pack_rising(words[at]), *(pack(s[at]) for s in sums)], 0, 0) for q, at in by_range(words, ranges)])
 
+    return run
 
-class Model:
-    """sections: (p, single, keys, counts, tables); contexts: customers of each context; tables and parents: of each sample, of SIZE."""
 
-    def __init__(self, parts: int, sections: DataFrame, contexts: np.ndarray, tables: np.ndarray, parents: np.ndarray):
-        self.parts, self.sections, self.contexts, self.tables, self.parents = parts, sections, contexts, tables, parents
+def _lexicon(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [(unpack_rising(b[0]), *map(unpack, b[1:])) for b in pdf["blobs"]]
+    words = np.unique(np.concatenate([r[0] for r in rows]))
+    sums = np.zeros((3, len(words)), np.int64)
+    for own, *values in rows:
+        sums[:, np.searchsorted(words, own)] += values
+    return _frame([(pdf["p"].iloc[0], 0, "", [pack_rising(words), *map(pack, sums), pack(np.zeros(len(words), np.int64))], int((words != START).sum()), 0)])
+
+
+def _first_seating(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for p, blobs in zip(b["p"], b["blobs"], strict=True):
+            words, u, w, n = _tables_of(blobs)
+            many = n > 1
+            u, w, n = u[many], w[many], n[many]
+            own = np.unique(np.concatenate([u, w]))
+            t = np.ones(len(n), np.int64)
+            yield _frame([(p, 0, "", [pack_rising(words[own]), pack_rising(np.searchsorted(own, u)), pack(np.searchsorted(own, w)), pack(n), pack(t), pack(t - 1)], 0, 0)])
+
 
-    def shared(self):
-        return self.contexts, self.tables, self.parents
+def _report(ranges: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, blobs in zip(b["p"], b["blobs"], strict=True):
+                words, u, w, _, t, _ = _tables_of(blobs)
+                sums = [np.bincount(k, t, len(words)).astype(np.int64) for k in (u, w)]
+                yield _frame([(q, 1, str(p), [pack_rising(words[at]), *(pack(s[at]) for s in sums)], 0, 0) for q, at in by_range(words, ranges)])
 
+    return run
 
-def predict(keys: np.ndarray, single: np.ndarray, multi: np.ndarray, counts: np.ndarray, mean_tables: np.ndarray, shared, own: np.ndarray | None = None) -> np.ndarray:
-    """The samples' mean predictive probability of each key. single, multi: rising keys of the sections of one and of more customers.
 
-    own: customers to leave out of each key's section, with as large a share of its tables.
+def _update(sweep: int, others: int, size: int, keep: bool, seed: int):
+    """A range's words after the parts' reports: their tables in the parent are drawn, and each part gets its words' totals.
+
+    others: all words' tables in the last sweep. The new lexicon row carries (customers, tables) of the range in a and b.
     """
-    contexts, tables, parents = shared
-    c, t = np.zeros(len(keys)), np.zeros(len(keys))
-    for having, n, m in ((single, None, None), (multi, counts, mean_tables)):
-        if len(having):
-            at = np.minimum(np.searchsorted(having, keys), len(having) - 1)
-            hit = having[at] == keys
-            c[hit] = 1 if n is None else n[at[hit]]
-            t[hit] = 1 if m is None else m[at[hit]]
-    u, w = keys // SIZE, keys % SIZE
-    back = np.zeros(len(keys))
-    for s in range(len(parents)):
-        back += (STRENGTH + DISCOUNT * tables[s, u]) * parents[s, w]
-    total = contexts[u].astype(float)
-    if own is not None:
-        own = np.minimum(own, c)
-        t, c, total = t * (1 - own / np.maximum(c, 1)), c - own, total - own
-    return (c - DISCOUNT * t + back / len(parents)) / (STRENGTH + total)
-
-
-def parent(customers: np.ndarray, rng: np.random.Generator, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tables drawn, predictive probabilities) of the unigram restaurant over a uniform base. START is nobody's dish."""
-    base = np.full(SIZE, 1.0 / (SIZE - 1))
-    base[START] = 0.0
-    tables = draw_tables(customers, tables.sum() - tables, np.maximum(base, 1e-30), rng)
-    p = (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * tables.sum()) * base) / (STRENGTH + customers.sum())
-    return tables, p
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, head = int(pdf["p"].iloc[0]), pdf.loc[pdf["kind"] == 0, "blobs"].iloc[0]
+        words, ones, dishes, up = unpack_rising(head[0]), unpack(head[2]), unpack(head[3]), unpack(head[4])
+        reports = [(name, np.searchsorted(words, unpack_rising(b[0])), unpack(b[1]), unpack(b[2])) for name, b in pdf.loc[pdf["kind"] == 1, ["name", "blobs"]].itertuples(index=False)]
+        for _, at, tu, tw in reports:
+            ones[at] += tu
+            dishes[at] += tw
+        up = np.minimum(np.maximum(up, np.minimum(dishes, 1)), dishes)
+        rng = np.random.default_rng([seed, sweep, q, 1])  # a task that runs again draws the same
+        up = draw_tables(dishes, np.maximum(others - up, 0), np.full(len(words), 1 / (size + 1)), rng)
+        sample = [pack(x) for x in (ones, dishes, up)]
+        rows = [(q, 0, "", [*head[:4], sample[2], *head[5:], *(sample if keep else [])], int(dishes.sum()), int(up.sum()))]
+        rows += [(int(name), 2, f"{q:09d}", [pack(x[at]) for x in (ones, dishes, up)], 0, 0) for name, at, *_ in reports]
+        return _frame(rows)
 
-def train(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int = 5) -> Model:
-    """From column text of all of ``docs``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return run
+
+
+def _joined(replies: pd.DataFrame) -> list[np.ndarray]:
+    """The ranges' replies to a part, one after the other."""
+    return [np.concatenate(x) for x in zip(*([unpack(b) for b in blobs] for blobs in replies.sort_values("name")["blobs"]), strict=True)]
+
+
+def _seat(sweep: int, totals: tuple[int, int], size: int, keep: bool, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, row = int(pdf["p"].iloc[0]), pdf.loc[pdf["kind"] == 0, "blobs"].iloc[0]
+        _, u, w, n, t, total = _tables_of(row)
+        if len(n):
+            tables, customers, up = _joined(pdf[pdf["kind"] == 2])
+            base = unigram(customers, up, totals, size)
+            t = draw_tables(n, tables[u] - t, base[w], np.random.default_rng([seed, sweep, p]))
+        return _frame([(p, 0, "", [*row[:4], pack(t), pack(total + t if keep else total)], 0, 0)])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, held, n = hashing(BITS), [], 0
+    return run
 
-        def flush() -> pd.DataFrame:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            p = where(keys, parts)
-            order = np.argsort(p, kind="stable")
-            ps, first = np.unique(p[order], return_index=True)
-            rows = np.split(order, first[1:])
-            return pd.DataFrame({"p": ps, "keys": [pack_keys(keys[r]) for r in rows], "counts": [pack_counts(times[r]) for r in rows]})
 
+def _ask(ranges: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in chunks(len(b), 512):
-                keys = bigrams(b["text"].iloc[lo:hi], memo)[0]
-                held.append(keys)
-                n += len(keys)
-                if n >= HELD:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack_keys(k) for k in pdf["keys"]])
-        n = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, n = keys[cut], np.add.reduceat(n, cut)
-        many = n > 1
-        start = pack_counts(np.ones(many.sum(), np.int64))
-        return pd.DataFrame({"p": pdf["p"].iloc[:1], "single": [pack_keys(keys[~many])], "keys": [pack_keys(keys[many])], "counts": [pack_counts(n[many])], "tables": [start], "sum": [pack_counts(np.zeros(many.sum(), np.int64))]})
+            for p, blobs in zip(b["p"], b["blobs"], strict=True):
+                words = unpack_rising(blobs[0])
+                yield _frame([(q, 1, str(p), [pack_rising(words[at])], 0, 0) for q, at in by_range(words, ranges)])
+
+    return run
 
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    q, head = int(pdf["p"].iloc[0]), pdf.loc[pdf["kind"] == 0, "blobs"].iloc[0]
+    words, known = unpack_rising(head[0]), [unpack(head[1]), *map(unpack, head[5:])]
+    asked = ((name, np.searchsorted(words, unpack_rising(b[0]))) for name, b in pdf.loc[pdf["kind"] == 1, ["name", "blobs"]].itertuples(index=False))
+    return _frame([(int(name), 2, f"{q:09d}", [pack(x[at]) for x in known], 0, 0) for name, at in asked])
+
+
+def train(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int = 5) -> Model:
+    """From column text of all of ``docs``. Null, empty and wordless texts count for nothing; an empty table's model is the base alone."""
     texts = docs.select(F.col("text").cast("string").alias("text")).dropna()
-    found = texts.mapInPandas(count, "p long, keys binary, counts binary").groupBy("p").applyInPandas(merge, "p long, single binary, keys binary, counts binary, tables binary, sum binary")
-    found = materialise(found, "lm-sections")
-    singles = found.select("p", "single")
-
-    def of_counts(row):
-        one, keys, n = unpack_keys(row["single"]), unpack_keys(row["keys"]), unpack_counts(row["counts"])
-        yield 0, keys // SIZE, n
-        yield 0, one // SIZE, np.ones(len(one))
-        yield 1, one // SIZE, np.ones(len(one))
-        yield 2, one % SIZE, np.ones(len(one))
-
-    def of_tables(row):
-        keys, t = unpack_keys(row["keys"]), unpack_counts(row["tables"])
-        yield 0, keys // SIZE, t
-        yield 1, keys % SIZE, t
-
-    fixed = _vectors(found, of_counts)
-    contexts, one_u, one_w = fixed if len(fixed) else np.zeros((3, SIZE), np.int64)
-    state = found.select("p", "keys", "counts", "tables", "sum")
-    rng = np.random.default_rng(seed)
-    up = np.zeros(SIZE, np.int64)
-    kept_tables, kept_parents = [], []
+    parts = max(LEAST_PARTS, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    counted = texts.mapInPandas(_count(parts), "p long, u binary, w binary, n binary")
+    found, _ = written(spread(counted, parts).groupBy("p").applyInPandas(_merge, _ROW), "lm-sections")
+    lexicon, words_at = written(spread(found.mapInPandas(_known(parts), _ROW), parts).groupBy("p").applyInPandas(_lexicon, _ROW), "lm-words")
+    size = lexicon.agg(F.sum("a")).first()[0] or 0
+    state, state_at = written(found.mapInPandas(_first_seating, _ROW), "lm-seating")
+    others, totals = size, []
+    spark = docs.sparkSession
     for sweep in range(burn + samples + 1):
-        many = _vectors(state, of_tables)
-        many_u, many_w = many if len(many) else np.zeros((2, SIZE), np.int64)
-        total, customers = one_u + many_u, one_w + many_w
-        up, p = parent(customers, rng, np.minimum(np.maximum(up, np.minimum(customers, 1)), customers))
+        told = spread(lexicon.unionByName(state.mapInPandas(_report(parts), _ROW)), parts).groupBy("p").applyInPandas(_update(sweep, others, size, sweep > burn, seed), _ROW)
+        swept, new_at = written(told, "lm-words")
+        remove(spark, words_at)  # no plan reads it any more
+        words_at, lexicon = new_at, swept.filter("kind = 0")
+        now = lexicon.agg(F.sum("a"), F.sum("b")).first()
+        now = (now[0] or 0, now[1] or 0)
+        others = now[1]
         if sweep > burn:
-            kept_tables.append(total)
-            kept_parents.append(p)
+            totals.append(now)
         if sweep == burn + samples:
             break
-        shared = spark.sparkContext.broadcast((total, p))
+        seated = spread(state.unionByName(swept.filter("kind = 2")), parts).groupBy("p").applyInPandas(_seat(sweep, now, size, sweep >= burn, seed), _ROW)
+        state, new_at = written(seated, "lm-seating")
+        remove(spark, state_at)
+        state_at = new_at
+    sums = state.select("p", F.lit(1).alias("kind"), "name", F.array(F.col("blobs")[5]).alias("blobs"), "a", "b")
+    told = spread(lexicon.unionByName(found.mapInPandas(_ask(parts), _ROW)), parts).groupBy("p").applyInPandas(_answer, _ROW)
+    return Model(parts, found.unionByName(sums).unionByName(told), lexicon, totals, size)
+
+
+class Part:
+    """A part's sections for look-up: rising keys, with customers, mean tables, the context's customers and what the parent adds."""
+
+    def __init__(self, own: list, sums: list, replies: list[list], totals: list[tuple[int, int]], size: int):
+        _, u, w, n = _tables_of(own)
+        words = unpack_rising(own[0])
+        t = np.ones(len(n))
+        t[n > 1] = unpack(sums[0]) / len(totals)
+        customers, *drawn = (np.concatenate(x) for x in zip(*([unpack(b) for b in r] for r in replies), strict=True))
+        back = np.zeros(len(n))
+        for s, total in enumerate(totals):
+            tables, dishes, up = drawn[3 * s : 3 * s + 3]
+            back += (STRENGTH + DISCOUNT * tables[u]) * unigram(dishes, up, total, size)[w]
+        keys = short(pair_keys(words[u], words[w]))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.n, self.t, self.context, self.back = keys[order], n[order], t[order], customers[u][order], back[order] / len(totals)
 
-        def seat(batches: Iterator[pd.DataFrame], sweep=sweep, shared=shared) -> Iterator[pd.DataFrame]:
-            total, p = shared.value
-            for b in batches:
-                for row in b.to_dict("records"):
-                    keys, n, t = unpack_keys(row["keys"]), unpack_counts(row["counts"]), unpack_counts(row["tables"])
-                    own = np.random.default_rng([seed, sweep, int(row["p"])])  # a task that runs again draws the same
-                    t = draw_tables(n, total[keys // SIZE] - t, p[keys % SIZE], own)
-                    add = unpack_counts(row["sum"]) + (t if sweep >= burn else 0)
-                    yield pd.DataFrame({"p": [row["p"]], "keys": [row["keys"]], "counts": [row["counts"]], "tables": [pack_counts(t)], "sum": [pack_counts(add)]})
+    def predict(self, keys: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the samples' mean predictive probability of each key, which keys are known). own: customers of each key's section
+        to leave out, with as large a share of its tables."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        c, t, total = self.n[at].astype(float), self.t[at], self.context[at].astype(float)
+        if own is not None:
+            own = np.minimum(own, c)
+            t, c, total = t * (1 - own / c), c - own, total - own
+        return (c - DISCOUNT * t + self.back[at]) / (STRENGTH + total), known
 
-        state = materialise(state.mapInPandas(seat, "p long, keys binary, counts binary, tables binary, sum binary"), "lm-seating")
-    sections = singles.join(state.select("p", "keys", "counts", "sum"), "p")
-    return Model(parts, sections, contexts, np.stack(kept_tables), np.stack(kept_parents))
+
+def _tokens(parts: int, seen: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, task, k = memo_of("words", word_code), TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo, hi in chunks(len(b), TEXTS):
+                texts, name = b.iloc[lo:hi], f"{task:07d}-{k:07d}"
+                k += 1
+                u, w, rows = bigrams(texts["text"], memo)
+                keys = pair_keys(u, w)
+                order = np.argsort(short(keys) if seen else u, kind="stable")
+                p = part_of(keys[order], parts)
+                order = order[np.argsort(p, kind="stable")]
+                p = part_of(keys[order], parts)
+                ids = np.array([int(i) if i is not None else 0 for i in texts["doc_id"]], np.int64)
+                out = [(k % parts, 4, name, [ids.tobytes(), texts["doc_id"].notna().to_numpy().tobytes(), pack(np.bincount(rows, minlength=len(texts)))], 0, 0)]
+                for q, at in groups(p):
+                    r = order[at]
+                    pairs = [pack_rising(short(keys[r]))] if seen else [pack_rising(u[r]), pack(w[r])]
+                    out.append((q, 3, name, [rows[r].astype("<u2").tobytes(), *pairs], 0, 0))
+                yield _frame(out)
+
+    return run
+
+
+def _occurrences(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How often each key is in its row."""
+    order = np.lexsort((rows, keys))
+    new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(rows[order]) != 0)])
+    group = np.cumsum(new) - 1
+    out = np.empty(len(keys))
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+def _look_up(totals: list[tuple[int, int]], size: int, seen: bool):
+    """Rows sorted by (p, kind, name): a part's sections, then the tokens of block after block. Of a block's tokens the sums of each
+    text's logarithms; pairs that the model doesn't have are handed on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own, sums, replies, part = None, None, None, [], None
+        for b in batches:
+            out = []
+            for p, kind, name, blobs in zip(b["p"], b["kind"], b["name"], b["blobs"], strict=True):
+                if p != now:
+                    now, own, sums, replies, part = p, None, None, [], None
+                if kind == 0:
+                    own = blobs
+                elif kind == 1:
+                    sums = blobs
+                elif kind == 2:
+                    replies.append(blobs)
+                elif kind == 4:
+                    out.append((name, 0, *blobs))
+                else:
+                    if part is None and own is not None:
+                        part, own, sums, replies = Part(own, sums, replies, totals, size), own, None, []
+                    rows = np.frombuffer(blobs[0], "<u2").astype(np.int64)
+                    codes = None if seen else (unpack_rising(blobs[1]), unpack(blobs[2]))
+                    keys = unpack_rising(blobs[1]) if seen else short(pair_keys(*codes))
+                    if part is None:
+                        known = np.zeros(len(keys), bool)
+                    else:
+                        q, known = part.predict(keys, _occurrences(keys, rows) if seen else None)
+                        texts, place = np.unique(rows[known], return_inverse=True)
+                        out.append((name, 1, pack(texts), np.bincount(place, np.log(np.maximum(q[known], 1e-300))).tobytes(), None))
+                    if not known.all() and not seen:
+                        out.append((name, 2, *(pack(x[~known]) for x in (rows, *codes))))
+            yield pd.DataFrame(out, columns=["name", "kind", "x", "y", "z"])
+
+    return run
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    head = pdf[pdf["kind"] == 0].iloc[0]
+    ids, known = np.frombuffer(head["x"], np.int64), np.frombuffer(head["y"], bool)
+    total = np.zeros(len(ids))
+    for texts, logs in pdf.loc[pdf["kind"] == 1, ["x", "y"]].sort_values(["x", "y"]).itertuples(index=False):
+        total[unpack(texts)] += np.frombuffer(logs, np.float64)
+    for row, log in pdf.loc[pdf["kind"] == 3, ["row", "log"]].sort_values("row").itertuples(index=False):
+        total[int(row)] += log
+    doc = pd.array(ids, "Int64")
+    doc[~known] = pd.NA
+    return pd.DataFrame({"doc_id": doc, "tokens": unpack(head["z"]), "log_probability": total})
+
+
+def _unknown_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for name, x, y, z in b[["name", "x", "y", "z"]].itertuples(index=False):
+            yield pd.DataFrame({"name": name, "row": unpack(x), "u": unpack(y), "w": unpack(z)})
+
+
+def _words(totals: list[tuple[int, int]], size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for head in b["blobs"]:
+                customers, *drawn = [unpack(head[1]), *map(unpack, head[5:])]
+                p = [unigram(drawn[3 * s + 1], drawn[3 * s + 2], total, size) for s, total in enumerate(totals)]
+                yield pd.DataFrame({"code": unpack_rising(head[0]), "n": customers, "t": list(np.stack(drawn[::3], 1).astype(float)), "q": list(np.stack(p, 1))})
+
+    return run
+
+
+def _unseen(looked: DataFrame, model: Model) -> DataFrame:
+    """(name, row, log): sums over the pairs that no section has, by joins with what is known of their words."""
+    known = model.lexicon.mapInPandas(_words(model.totals, model.size), "code long, n long, t array<double>, q array<double>")
+    pairs = looked.filter("kind = 2").mapInPandas(_unknown_pairs, "name string, row long, u long, w long")
+    both = pairs.join(known.select(F.col("code").alias("u"), "n", "t"), "u", "left").join(known.select(F.col("code").alias("w"), "q"), "w", "left")
+    fresh = [unigram(np.zeros(1), np.zeros(1), total, model.size)[0] for total in model.totals]
+    t, q = F.coalesce("t", F.array(*[F.lit(0.0) for _ in fresh])), F.coalesce("q", F.array(*[F.lit(float(x)) for x in fresh]))
+    back = F.aggregate(F.zip_with(t, q, lambda a, b: (F.lit(STRENGTH) + F.lit(DISCOUNT) * a) * b), F.lit(0.0), lambda a, b: a + b) / len(fresh)
+    log = F.log(back / (F.lit(STRENGTH) + F.coalesce("n", F.lit(0))))
+    return both.select("name", "row", log.alias("log")).groupBy("name", "row").agg(F.sum("log").alias("log"))
 
 
 def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
@@ -276,80 +506,23 @@ def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
     seen: the model was trained on these rows, so each text is scored without its own occurrences of a pair of words.
 
     Null, empty and wordless texts: 0 tokens, log_probability 0, perplexity null. Null doc_ids stay null; repeated rows: a row
-    each. Empty table: no rows. Words never seen have the parent's and the base's probability. Other columns are ignored.
+    each. Empty table: no rows. Pairs never seen have the parent's probability, words never seen the base's. Texts of any length are
+    scored whole. Other columns are ignored.
     """
-    spark, parts, samples = docs.sparkSession, model.parts, len(model.parents)
-    shared = spark.sparkContext.broadcast(model.shared())  # 2 * samples + 1 vectors of the vocabulary's size
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, task, k = hashing(BITS), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo, hi in chunks(len(b), TEXTS):
-                part, name = b.iloc[lo:hi], f"{task}-{k}"
-                k += 1
-                keys, rows = bigrams(part["text"], memo)
-                order = np.argsort(keys, kind="stable")
-                keys, rows = keys[order], rows[order]
-                p = where(keys, parts)
-                order = np.argsort(p, kind="stable")
-                ps, first = np.unique(p[order], return_index=True)
-                cuts = np.split(order, first[1:]) if len(order) else []
-                known = part["doc_id"].notna().to_numpy()
-                ids = np.array([int(i) if i is not None else 0 for i in part["doc_id"]], np.int64)
-                sizes = np.bincount(rows, minlength=len(part))
-                yield pd.DataFrame({
-                    "p": [*ps, -1 - (hash_name(name) % parts)], "name": name, "keys": [*(pack_keys(keys[c]) for c in cuts), ids.tobytes()],
-                    "rows": [*(rows[c].astype("<u2").tobytes() for c in cuts), known.tobytes()], "sizes": [*(b"" for _ in cuts), sizes.astype(np.int64).tobytes()],
-                })
-
-    def look_up(own: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        names, out = [], []
-        if len(own):
-            r = own.iloc[0]
-            tables = (unpack_keys(r["single"]), unpack_keys(r["keys"]), unpack_counts(r["counts"]), unpack_counts(r["sum"]) / samples)
-        else:
-            none = np.zeros(0, np.int64)
-            tables = (none, none, none, none)
-        for name, p, keys, rows, sizes in tokens[["name", "p", "keys", "rows", "sizes"]].itertuples(index=False):
-            names.append(name)
-            if p < 0:
-                out.append((None, None, keys, rows, sizes))
-                continue
-            keys, at = unpack_keys(keys), np.frombuffer(rows, "<u2").astype(np.int64)
-            mine = None
-            if seen:
-                order = np.lexsort((at, keys))
-                new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(at[order]) != 0)])
-                group = np.cumsum(new) - 1
-                mine = np.empty(len(keys))
-                mine[order] = np.bincount(group)[group]
-            logs = np.log(np.maximum(predict(keys, *tables, shared.value, mine), 1e-300))
-            texts, place = np.unique(at, return_inverse=True)
-            out.append((texts.astype("<u2").tobytes(), np.bincount(place, logs).tobytes(), None, None, None))
-        return pd.DataFrame([(n, *o) for n, o in zip(names, out, strict=True)], columns=["name", "texts", "logs", "ids", "known", "sizes"])
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["ids"].notna()].iloc[0]
-        ids, known, sizes = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["known"], bool), np.frombuffer(head["sizes"], np.int64)
-        total = np.zeros(len(ids))
-        for texts, logs in pdf.loc[pdf["ids"].isna(), ["texts", "logs"]].sort_values("texts").itertuples(index=False):
-            total[np.frombuffer(texts, "<u2")] += np.frombuffer(logs, np.float64)
-        doc = pd.array(ids, "Int64")
-        doc[~known] = pd.NA
-        return pd.DataFrame({"doc_id": doc, "tokens": sizes, "log_probability": total})
-
-    tokens = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(spread, "p long, name string, keys binary, rows binary, sizes binary")
-    looked = tokens.groupBy("p").cogroup(model.sections.groupBy("p")).applyInPandas(lambda a, b: look_up(b, a), "name string, texts binary, logs binary, ids binary, known binary, sizes binary")
-    summed = looked.groupBy("name").applyInPandas(gather, "doc_id long, tokens long, log_probability double")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokens = rows.mapInPandas(_tokens(model.parts, seen), _ROW)
+    met = spread(model.sections.unionByName(tokens), model.parts).sortWithinPartitions("p", "kind", "name")
+    looked = met.mapInPandas(_look_up(model.totals, model.size, seen), "name string, kind int, x binary, y binary, z binary")
+    if seen:
+        found = looked.withColumn("row", F.lit(None).cast("long")).withColumn("log", F.lit(None).cast("double"))
+    else:
+        looked, _ = written(looked, "lm-scores")
+        rest = _unseen(looked, model).select("name", F.lit(3).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in "xyz"], "row", "log")
+        found = looked.filter("kind < 2").withColumn("row", F.lit(None).cast("long")).withColumn("log", F.lit(None).cast("double")).unionByName(rest)
+    summed = found.groupBy("name").applyInPandas(_gather, "doc_id long, tokens long, log_probability double")
     return summed.withColumn("perplexity", F.when(F.col("tokens") > 0, F.exp(-F.col("log_probability") / F.col("tokens"))))
 
 
-def hash_name(name: str) -> int:
-    import zlib
-
-    return zlib.crc32(name.encode())
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs), seen=True)
