@@ -125,17 +125,25 @@ def chunks(n: int, size: int):
     return ((i, min(n, i + size)) for i in range(0, n, size))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> tuple[DataFrame, dict[int, float]]:
+#: Distinct grades that a table of ratings may have; more are an error, since they'd be a measurement to be binned first.
+MOST_GRADES = 256
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> tuple[DataFrame, dict[float, float]]:
     """At most ``bound`` labelled documents for fitting, as many of each class as the rarer ones allow, and each class's weight.
 
     A class's rows are those of the least hash of doc_id, so the choice is the same on any layout. The weight is
     (rows of the class in all labels) / (rows taken), so that a weighted fit sees the real proportions. Rows with a null
-    doc_id or label aren't used. Of a doc_id labelled twice with different values, each row counts.
+    doc_id or label aren't used; NaN counts as null. Of a doc_id labelled twice with different values, each row counts.
+    Fractional grades are grades of their own; more than MOST_GRADES distinct ones raise a ValueError.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(target).cast("int").alias("y")).dropna()
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()}
+    y = F.col(target).cast("double")
+    rows = labels.select(F.col("doc_id").cast("long").alias("i"), F.when(~F.isnan(y), y).alias("y")).dropna()
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(MOST_GRADES + 1).collect()}
+    if len(counts) > MOST_GRADES:
+        raise ValueError(f"{target} has more than {MOST_GRADES} distinct grades: bin them first")
     if not counts:
-        return docs.select(F.lit(0).alias("y"), F.lit("").alias("text")).limit(0), {}
+        return docs.select(F.lit(0.0).alias("y"), F.lit("").alias("text")).limit(0), {}
     share, left, take = bound, sorted(counts.items(), key=lambda c: c[1]), {}
     for k, (y, n) in enumerate(left):
         take[y] = min(n, share // (len(left) - k))

@@ -8,9 +8,9 @@ collapsed), and the share of tokens that repeat the one before, so f(x) is a mea
 from __future__ import annotations
 
 import re
-from operator import eq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ _SHAPE = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() and len(m[0
 def shape(token: str) -> str:
     for pattern, to in _SHAPE:
         token = pattern.sub(to, token)
-    return token[:12]
+    return token
 
 
 def features(token: str, bits: int = BITS) -> tuple[int, int]:
@@ -49,7 +49,7 @@ def repeats(tokens: list[str]) -> float:
 class Ordinal:
     """grades: rising; theta: one fewer. weight: feature -> its weight."""
 
-    grades: list[int]
+    grades: list[float]
     theta: np.ndarray
     weight: dict[int, float]
     bits: int = BITS
@@ -113,11 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
     rows, weights = labelled_sample(docs, labels, target, sample)
     if len(weights) < 2:
         return None
-    got = rows.mapInPandas(_counts(bits), "y int, ids array<int>, x array<float>").toPandas()
-    grades = sorted(int(g) for g in got["y"].unique())
+    got = rows.mapInPandas(_counts(bits), "y double, ids array<int>, x array<float>").toPandas()
+    grades = sorted(float(g) for g in got["y"].unique())
     if len(grades) < 2:
         return None
-    found = ((int(y), np.asarray(i, np.int32), np.asarray(x, np.float32)) for y, i, x in zip(got["y"], got["ids"], got["x"], strict=True))
+    found = ((float(y), np.asarray(i, np.int32), np.asarray(x, np.float32)) for y, i, x in zip(got["y"], got["ids"], got["x"], strict=True))
     found = sorted(found, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same order on any layout
     y = np.searchsorted(grades, [r[0] for r in found])
     weight = np.array([weights[grades[k]] for k in y])
@@ -134,12 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
     return Ordinal(grades, theta, {int(k): float(v) for k, v in zip(keep, w, strict=True)}, bits)
 
 
-def grade(docs: DataFrame, labels: DataFrame, at_least: int | None = None, tail: float = TAIL, **options) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, at_least: float | None = None, tail: float = TAIL, **options) -> DataFrame:
     """(doc_id, expected_grade, tail_probability, keep) for every row of ``docs``; keep is tail_probability >= ``tail``.
 
     tail_probability is P(grade >= at_least), by default of the second lowest grade. Null or empty text: f(x) = 0, so the
     thresholds alone decide. Null doc_id: graded, not used for fitting. Repeated rows: a row each. Empty documents: no rows.
-    Fewer than two grades: no model; expected_grade is null, tail_probability 1, keep true. Other columns are ignored.
+    Fractional grades are grades of their own, more than MOST_GRADES distinct ones an error. Fewer than two grades: no model; expected_grade is null, tail_probability 1, keep true. Other columns are ignored.
     """
     spark, model = docs.sparkSession, fit(docs, labels, **options)
     if model is None:

@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
     rows, weights = labelled_sample(docs, labels.filter(F.col(target).isin(0, 1)), target, sample)
     if len(weights) < 2:
         return None
-    got = rows.mapInPandas(_terms(bits), "y int, terms array<int>").toArrow().combine_chunks()
+    got = rows.mapInPandas(_terms(bits), "y double, terms array<int>").toArrow().combine_chunks()
     ys = got["y"].to_numpy()
     if len(set(ys.tolist())) < 2:
         return None
