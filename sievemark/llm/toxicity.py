@@ -24,7 +24,9 @@ BITS = 20
 TERMS = 4096
 FACTORS = 4
 THRESHOLD = 0.5
-FALSE_COST = 8.0
+FALSE_COST = 20.0
+#: Penalties of the factors to choose from; under the last they vanish where pairs of terms tell nothing.
+PENALTIES = (5e-4, 2e-2, 1.0)
 
 
 @dataclass
@@ -106,25 +108,44 @@ def screen(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int)
     return terms[chosen[ok[chosen]]]
 
 
-def cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int) -> float:
-    """The logit at which documents that the fit hasn't seen are told apart best: two halves score each other, and a clean
-    document's loss counts FALSE_COST times a toxic one's escape."""
+def logits(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    s = x @ v
+    return bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+
+
+def crossed(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int, l2v: float) -> np.ndarray | None:
+    """Logits of documents that the fit hasn't seen: two halves score each other. None where a half has one class only."""
     first = slice(0, -(-len(y) // 2))  # slices, so that nothing is copied
     second = slice(first.stop, len(y))
     z = np.zeros(len(y))
     for own, other in ((first, second), (second, first)):
         if len(set(y[own].tolist())) < 2:
-            return 0.0
-        b, w, v = train(x[own], y[own], weight[own], factors)
-        s = x[other] @ v
-        z[other] = b + x[other] @ w + 0.5 * ((s * s).sum(1) - x[other] @ (v * v).sum(1))
-    options = np.linspace(-1.5, 0.5, 41)
+            return None
+        z[other] = logits(x[other], *train(x[own], y[own], weight[own], factors, l2v=l2v))
+    return z
+
+
+def chosen(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int, penalties: tuple[float, ...]) -> tuple[float, float]:
+    """(penalty of the factors, cut): the penalty of the least loss over documents that the fit hasn't seen, so that factors are
+    as strong as pairs of terms tell more than the terms alone; and the logit at which such documents are told apart best, where
+    a clean document's loss counts FALSE_COST times a toxic one's escape."""
+    best = None
+    for l2v in penalties:
+        z = crossed(x, y, weight, factors, l2v)
+        if z is None:
+            return penalties[-1], 0.0
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum())
+        if best is None or loss < best[0]:
+            best = loss, l2v, z
+    _, l2v, z = best
+    options = np.quantile(z, np.linspace(0, 1, 801))
+    options = np.unique(np.concatenate([options, (options[1:] + options[:-1]) / 2]))
     gain = [(z[y == 1] > t).mean() - FALSE_COST * (z[y == 0] > t).mean() for t in options]
-    best = np.flatnonzero(np.isclose(gain, max(gain)))
-    return float(options[best[len(best) // 2]])
+    top = np.flatnonzero(np.isclose(gain, max(gain)))
+    return l2v, float((options[top[0]] + options[top[-1]]) / 2) if np.all(np.diff(top) == 1) else float(options[top[len(top) // 2]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, bits: int = BITS, terms: int = TERMS, factors: int = FACTORS) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, bits: int = BITS, terms: int = TERMS, factors: int = FACTORS, penalties: tuple[float, ...] = PENALTIES) -> Machine | None:
     """None where the labels don't have both classes."""
     rows, weights = labelled_sample(docs, labels.filter(F.col(target).isin(0, 1)), target, sample)
     if len(weights) < 2:
@@ -145,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
         at = np.searchsorted(keep, t)
         at[at == len(keep)] = 0
         x[i, at[keep[at] == t] if len(keep) else []] = 1
-    bias, w, v = train(x, y, weight, factors)
-    bias -= cut(x, y, weight, factors)
+    l2v, cut = chosen(x, y, weight, factors, penalties)
+    bias, w, v = train(x, y, weight, factors, l2v=l2v)
+    bias -= cut
     return Machine({int(t): i for i, t in enumerate(keep)}, bias, w.astype(np.float64), v.astype(np.float64), bits)
 
 
