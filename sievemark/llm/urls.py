@@ -1,7 +1,7 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact hash join.
 
 Both sides are brought to one canonical form. The filter, sent to every worker, lets possible hits through; they alone are
-joined with the list, which removes false positives. A list too large for the filter (``bloom.MOST_BYTES``) is joined directly.
+joined with the list, which removes false positives. A filter of more than ``bloom.MOST_BYTES`` is cut by key range.
 """
 
 from __future__ import annotations
@@ -32,16 +32,14 @@ def listed(pages: DataFrame, urls: DataFrame, bits_per_key: int = bloom.BITS_PER
     """(page_id, url, canonical_url, listed) for every row of ``pages``; ``urls`` has a column url.
 
     Null url: canonical_url null, not listed; null list entries are ignored, blank ones too. Repeated pages: a row each; repeated
-    list entries count once. Empty pages: no rows; empty list: nothing is listed. Other columns are ignored.
+    list entries count once. Empty pages: no rows; empty list: nothing is listed. URLs of any
+    length are compared whole. Other columns are ignored.
     """
     bad = urls.select(canonical(F.col("url").cast("string")).alias("canonical_url")).filter("canonical_url <> ''").distinct()
     rows = pages.select("page_id", "url", canonical(F.col("url").cast("string")).alias("canonical_url"))
     made = bloom.build(bad.select(bloom.key("canonical_url")), bits_per_key, most_bytes)
     marked = bad.select("canonical_url", F.lit(True).alias("listed"))
-    if made is None:
-        return rows.join(marked, "canonical_url", "left").select("page_id", "url", "canonical_url", F.coalesce("listed", F.lit(False)).alias("listed"))
-    maybe = bloom.tester(pages.sparkSession, made)(bloom.key("canonical_url"))
-    tested = rows.withColumn("maybe", maybe)
+    tested = bloom.tested(rows, bloom.key("canonical_url"), made, "maybe")
     exact = tested.filter("maybe").drop("maybe").join(marked.hint("shuffle_hash"), "canonical_url", "left").select("page_id", "url", "canonical_url", F.coalesce("listed", F.lit(False)).alias("listed"))
     return tested.filter("not maybe").drop("maybe").withColumn("listed", F.lit(False)).unionByName(exact)
 
