@@ -47,10 +47,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)[0]
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate that no plan will read again."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _place(spark, path)
+    files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _place(spark, path)
+    return files.exists(at)
 
 
 def fresh(df: DataFrame, base: str) -> str:

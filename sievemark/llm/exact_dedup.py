@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import bloom
-from sievemark.llm.common import materialise, shared_dir, table
+from sievemark.llm.common import exists, materialise, shared_dir, table
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_KEY_SCHEMA = "digest binary, doc_id string, ord long, file string, pos long"
+_KEY_SCHEMA = "run long, digest binary, doc_id string, ord long, file string, pos long"
+_FIRST = "digest binary, run long, none boolean, ord long, file string, pos long, n long"
+#: Copies of one text that a task compares with the first of them; a larger group is parted among tasks.
+SALT = 4096
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +32,9 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         got = of(docs)
         got.schema  # noqa: B018  analysis
         return docs, got
-    except AnalysisException:
+    except AnalysisException as e:
+        if not (e.getCondition() or "").startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+            raise
         docs = materialise(docs, "documents")
         return docs, of(docs)
 
@@ -38,67 +42,80 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def first_seen(arrivals: DataFrame) -> DataFrame:
     """The stateful operator: per digest the first arrival and the number of arrivals so far, in update mode.
 
-    Order of arrival is (ord, file, pos), and ord rises with ingestion, so that a first arrival is never displaced.
+    Order of arrival is (run, ord, file, pos), so that a first arrival is never displaced by a later run.
     """
-    rank = F.struct(F.col("ord").isNull().alias("none"), "ord", "file", "pos")
+    rank = F.struct("run", F.col("ord").isNull().alias("none"), "ord", "file", "pos")
     return arrivals.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
 
 
-def stream_groups(spark: SparkSession, source: str) -> DataFrame:
-    """(digest, file, pos, ord) of the first arrival of every digest that came more than once in the folder ``source``."""
-    out, state = shared_dir(spark, "dedup-updates"), shared_dir(spark, "dedup-state")
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
-        stream = first_seen(spark.readStream.schema(_KEY_SCHEMA).parquet(source))
+def stream_groups(spark: SparkSession, source: str, state: str) -> DataFrame:
+    """The digests of the folder ``source`` that came again since the checkpoint in ``state`` was last used, or came more than
+    once since then: (digest, run, none, ord, file, pos) of the first arrival, n arrivals so far."""
+    out = shared_dir(spark, "dedup-updates")
+    own = spark.newSession()  # the state store's setting stays out of the caller's session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = first_seen(own.readStream.schema(_KEY_SCHEMA).parquet(source))
 
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.filter("n > 1").select("digest", "first.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.filter("n > 1").select("digest", "first.*", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        run = stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
-        run.awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, before)
-    schema = "digest binary, none boolean, ord long, file string, pos long"
+    stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     # a digest that repeats in several batches is in each batch's update, always with the same first arrival
-    if not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*").groupBy("digest").agg(F.min(F.struct("none", "ord", "file", "pos")).alias("k")).select("digest", "k.*")
+    if not exists(spark, out):
+        return spark.createDataFrame([], _FIRST)
+    k = F.max(F.struct("n", "run", "none", "ord", "file", "pos")).alias("k")
+    return spark.read.schema(_FIRST).option("basePath", out).parquet(f"{out}/batch=*").groupBy("digest").agg(k).select("digest", "k.run", "k.none", "k.ord", "k.file", "k.pos", "k.n")
 
 
-def _hits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _hits(docs: DataFrame, kept: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(located documents, hits checked in full: digest, doc_id, kept_doc_id, file, pos)."""
     spark = docs.sparkSession
     docs, rows = located(docs)
     text, key = F.col("d.text").cast("string"), F.col("d.doc_id").cast("long")
     digest = F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
-    source = shared_dir(spark, "dedup-arrivals")
-    rows.filter(text.isNotNull()).select(digest.alias("digest"), F.col("d.doc_id").cast("string").alias("doc_id"), key.alias("ord"), "file", "pos").write.parquet(source)
-    firsts = stream_groups(spark, source).select("digest", F.col("ord").alias("kept_doc_id"), F.col("file").alias("first_file"), F.col("pos").alias("first_pos"))
-    arrivals = spark.read.schema(_KEY_SCHEMA).parquet(source).select("digest", "ord", "file", "pos")
-    hits = materialise(arrivals.join(firsts, "digest").select("digest", "ord", "kept_doc_id", "file", "pos", "first_file", "first_pos"), "dedup-hits")
+    folder = kept or shared_dir(spark, "dedup")
+    source = f"{folder}/arrivals"
+    run = spark.read.schema(_KEY_SCHEMA).parquet(source).agg(F.max("run")).first()[0] if exists(spark, source) else None
+    run = 0 if run is None else run + 1
+    new = rows.filter(text.isNotNull()).select(F.lit(run).cast("long").alias("run"), digest.alias("digest"), F.col("d.doc_id").cast("string").alias("doc_id"), key.alias("ord"), "file", "pos")
+    new.write.mode("append").parquet(source)
+    firsts = stream_groups(spark, source, f"{folder}/state").select("digest", F.col("run").alias("first_run"), F.col("ord").alias("kept_doc_id"), F.col("file").alias("first_file"), F.col("pos").alias("first_pos"), "n")
+    arrivals = spark.read.schema(_KEY_SCHEMA).parquet(source).filter(F.col("run") == run).select("digest", "ord", "file", "pos")
+    hits = arrivals.join(firsts, "digest").filter((F.col("first_run") < run) | (F.col("file") != F.col("first_file")) | (F.col("pos") != F.col("first_pos")))
+    hits = materialise(hits.select("digest", "ord", "kept_doc_id", "file", "pos", "first_run", "first_file", "first_pos", "n"), "dedup-hits")
     content = rows.select("file", "pos", text.alias("text"))
-    # the filter keeps what can't be a hit out of the shuffle of texts
-    bodies = hits.join(bloom.narrowed(content, hits.select("file", "pos"), ["file", "pos"]), ["file", "pos"])
-    first = bodies.filter("file = first_file and pos = first_pos").select("digest", F.col("text").alias("first_text"))
-    rest = bodies.filter("file <> first_file or pos <> first_pos")
-    same = rest.join(first, "digest").filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8"))
+    older = [r[0] for r in hits.filter(F.col("first_run") < run).select("first_file").distinct().collect()]  # a row a file at most
+    first_content = content
+    if older:
+        first_content = content.union(spark.read.parquet(*older).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"), F.col("text").cast("string").alias("text")))
+    # the filters keep what isn't a hit or a first text out of the shuffle of texts; copies meet their first text in parts of SALT
+    parts = F.ceil(F.col("n") / SALT).cast("long")
+    places = hits.select("digest", F.col("first_file").alias("file"), F.col("first_pos").alias("pos"), parts.alias("parts")).distinct()
+    first = bloom.narrowed(first_content, places.select("file", "pos"), ["file", "pos"]).join(places, ["file", "pos"]).dropDuplicates(["file", "pos"])
+    first = first.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("text").alias("first_text"))
+    rest = bloom.narrowed(content, hits.select("file", "pos"), ["file", "pos"]).join(hits.withColumn("salt", F.pmod(F.xxhash64("file", "pos"), parts)), ["file", "pos"])
+    same = rest.join(first, ["digest", "salt"]).filter(F.encode("text", "utf-8") == F.encode("first_text", "utf-8"))
     return rows, same.select(F.col("ord").alias("doc_id"), "kept_doc_id", "file", "pos")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, state: str | None = None) -> DataFrame:
     """(doc_id, kept_doc_id): a row for every document whose text equals, byte for byte, that of an earlier one.
 
     The earliest is the one of the least doc_id, nulls last; ties are broken by the locator. Null text: never a duplicate.
     Empty texts equal each other. Repeated rows, also of one doc_id, are duplicates of the first of them. Empty table: no
-    rows. Other columns are ignored.
+    rows. Texts of any length are compared whole. Other columns are ignored.
+
+    state: a shared folder that the caller keeps; all calls with it make one stream, so documents are also compared with those
+    of earlier calls, which came first whatever their ids. Their files must still be there. Without it each call is by itself.
+    The arrivals are taken in when the function is called, once a call.
     """
-    return _hits(docs)[1].select("doc_id", "kept_doc_id")
+    return _hits(docs, state)[1].select("doc_id", "kept_doc_id")
 
 
-def unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't duplicates in the sense of ``duplicates``."""
-    rows, hits = _hits(docs)
+def unique(docs: DataFrame, state: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't duplicates in the sense of ``duplicates``. An empty table stays empty."""
+    rows, hits = _hits(docs, state)
     gone = materialise(hits.select("file", "pos"), "dedup-gone")
     return bloom.without(rows, gone, ["file", "pos"]).select("d.*")
 
