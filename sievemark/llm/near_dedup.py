@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import bloom
@@ -162,7 +162,9 @@ def pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).dropna()
     signed = materialise(texts.mapInPandas(_sign, "id long, bands array<long>, sig binary"), "minhash")
     buckets = signed.select("id", F.explode("bands").alias("bucket"))
-    star = materialise(buckets.withColumn("hub", F.min("id").over(Window.partitionBy("bucket"))).filter("hub < id").distinct(), "minhash-star")
+    # least ids are combined on the map side, and a join can be split where one bucket holds very many
+    hubs_of = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    star = materialise(buckets.join(hubs_of, "bucket").filter("hub < id").distinct(), "minhash-star")
     mine, hubs = signed.select("id", "sig"), signed.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig"))
     alike = F.pandas_udf(_estimate, "double")
 
@@ -192,8 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.col("hub").alias("a"), F.col("id").alias("b")), "components")
 
     def star(sym: DataFrame, larger: bool) -> DataFrame:
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        rows = sym.withColumn("m", low)
+        low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        rows = sym.join(low, "u")
         links = rows.select(F.col("m").alias("a"), F.col("v").alias("b")).filter("b > a") if not larger else rows.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         if not larger:
             links = links.union(rows.select(F.col("m").alias("a"), F.col("u").alias("b")).filter("b > a"))
