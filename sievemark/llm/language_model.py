@@ -2,9 +2,8 @@
 
 Restaurants: one for every context word; all of them share one parent, the unigram restaurant, whose base is uniform over the
 corpus' words and one more for all words never seen. A section (u, w) is the customers of dish w in context u. Given the rest,
-the number of its tables is drawn from its exact conditional (generalised Stirling numbers sum out who sits where) up to EXACT
-customers; larger sections seat customers in turn, in chunks of a 64th of those seated. Every table is a customer of the parent.
-A sweep draws all sections at once given the last sweep's totals (parallel Gibbs). After BURN sweeps, SAMPLES are averaged.
+the number of its tables is drawn from its conditional, in which generalised Stirling numbers sum out who sits where: they come
+from a table up to EXACT customers, beyond from their series or saddle point. Every table is a customer of the parent. A sweep draws all sections at once given the last sweep's totals (parallel Gibbs). After BURN sweeps, SAMPLES are averaged.
 
 Words are known by WORD_BITS bits of a hash, so the vocabulary grows with the corpus (of 10 million words about 45 pairs share a
 code). Nothing of the vocabulary's size is broadcast or collected: sections lie in parts by a hash of (u, w), whose number grows
@@ -15,7 +14,8 @@ part, and the parts draw. Arrays travel as byte planes, sorted ones as differenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,6 +84,18 @@ def short(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
 
+def edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    new = np.ones(len(sorted_) + 1, bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:-1])
+    return np.flatnonzero(new)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[edges(x)[:-1]]
+
+
 def groups(sorted_: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(value, where it stands) of sorted values."""
     values, first = np.unique(sorted_, return_index=True)
@@ -139,18 +151,81 @@ def draw_tables(c: np.ndarray, rest: np.ndarray, base: np.ndarray, rng: np.rando
             p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
             t[r] = 1 + (p < rng.random(len(r))[:, None] * p[:, -1:]).sum(1)
     large = np.flatnonzero(c > EXACT)
-    seated, tables = np.ones(len(large), np.int64), np.ones(len(large), np.int64)
-    while len(large):
-        step = np.minimum(np.maximum(1, seated // 64), c[large] - seated)
-        new = (strength + d * (rest[large] + tables)) * base[large]
-        tables += rng.binomial(step, new / (new + seated - d * tables))
-        seated += step
-        done = seated >= c[large]
-        t[large[done]] = tables[done]
-        large, seated, tables = large[~done], seated[~done], tables[~done]
+    for lo, hi in chunks(len(large), 2048):
+        r = large[lo:hi]
+        t[r] = _draw_large(c[r], strength + d * rest[r], base[r], rng, d)
     return t
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of 8 and more."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def _draw_large(c: np.ndarray, start: np.ndarray, base: np.ndarray, rng: np.random.Generator, d: float) -> np.ndarray:
+    """As ``draw_tables``, for sections too large for a table of Stirling numbers: P(t) is in proportion to
+    S_d(c, t) * prod_{k < t} (start + d k) * base.
+
+    S_d(c, t) is c! / t! times the coefficient of z^c in f(z)^t, f(z) = (1 - (1 - z)^d) / d. Where t is small beside c^d, its
+    expansion in powers of (1 - z)^d is summed for every t; else the saddle point, z = 1 - e^L, gives the slope of
+    log P, log f - log t + log((start + d t) base), which is integrated over a range of L around the mode.
+    """
+
+    def at(where: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(t, f) of the saddle point; t rises with L from 0 to c."""
+        f = -np.expm1(d * where) / d
+        return c * f / (-np.expm1(where) * np.exp((d - 1) * where)), f
+
+    def solve(above: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """L up to which ``above(t, f)`` is false, by halves."""
+        lo, hi = np.log(0.25 * d / c) / (1 - d), np.full(len(c), -1e-7)
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            up = above(*at(mid, c))
+            lo, hi = np.where(up, lo, mid), np.where(up, mid, hi)
+        return (lo + hi) / 2
+
+    mode = at(solve(lambda t, f: f * (start + d * t) * base < t), c)[0]
+    spread_ = 8 * np.sqrt(mode) + 10
+    few = (mode + spread_ <= 400) & (mode + spread_ <= c**d)
+    out = np.ones(len(c), np.int64)
+    for rows in np.array_split(np.flatnonzero(few), max(1, int(few.sum()) // 256)):
+        if len(rows):
+            k = np.arange(1, int((mode + spread_)[rows].max()) + 1)
+            n, q, total = c[rows, None].astype(float), np.ones((len(rows), len(k))), np.zeros((len(rows), len(k)))
+            for j in range(1, 29):
+                q = q * -((k - j + 1).clip(0)[None] / j)  # (-1)^j of k over j
+                a = d * j
+                if abs(a - round(a)) > 1e-9:  # 1 / gamma(-a) is 0 else
+                    total += q * np.exp(_log_gamma(n - a) - _log_gamma(n - d)) / math.gamma(-a)
+            log = np.log(np.maximum(total, 1e-300)) - np.cumsum(np.log(k))[None] - k[None] * np.log(d)
+            log += np.cumsum(np.log(start[rows, None] + d * (k - 1)) + np.log(base[rows])[:, None], 1)
+            p = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+            out[rows] = 1 + (p < rng.random(len(rows))[:, None] * p[:, -1:]).sum(1)
+    many = ~few
+    if many.any():
+        low, high = np.maximum(mode - spread_, 0.5), np.minimum(mode + spread_, c)
+        ends = solve(lambda t, f: t > low)[many], solve(lambda t, f: t > high)[many]
+        where = ends[0][:, None] + (ends[1] - ends[0])[:, None] * np.linspace(0, 1, 97)[None]
+        t, f = at(where, c[many, None])
+        more = start[many, None] + d * t
+        slope = np.log(f) - np.log(t) + np.log(more * base[many, None])
+        step = np.diff(t, axis=1)
+        log = np.concatenate([np.zeros((len(t), 1)), np.cumsum((slope[:, 1:] + slope[:, :-1]) / 2 * step, 1)], 1)
+        y = np.exp(where)  # the saddle point's width, and what sums have beside their integrals
+        width = (y / (1 - y) + 1 - d - d * y**d / (1 - y**d)) * (1 - y) / y
+        log -= (np.log(np.maximum(width, 1e-300)) + np.log(t) + np.log(more)) / 2
+        p = np.exp(log - log.max(1, keepdims=True))
+        p = np.cumsum((p[:, 1:] + p[:, :-1]) / 2 * step, 1)
+        want = rng.random(len(t)) * p[:, -1]
+        cell = (p < want[:, None]).sum(1)
+        i = np.arange(len(t))
+        before = np.where(cell > 0, p[i, np.maximum(cell - 1, 0)], 0.0)
+        share = (want - before) / np.maximum(p[i, cell] - before, 1e-300)
+        out[many] = np.clip(np.rint(t[i, cell] + share * step[i, cell]), 1, c[many]).astype(np.int64)
+    return out
+
+
 def unigram(customers: np.ndarray, tables: np.ndarray, totals: tuple[int, int], size: int) -> np.ndarray:
     """Predictive probabilities of the parent. totals: its customers and tables in all; size: the words that have a dish."""
     return (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * totals[1]) / (size + 1)) / (STRENGTH + totals[0])
@@ -182,8 +257,11 @@ def _tables_of(row) -> tuple[np.ndarray, ...]:
 def _count(parts: int):
     def flush(us: list, ws: list) -> pd.DataFrame:
         u, w = np.concatenate(us), np.concatenate(ws)
-        words = np.unique(np.concatenate([u, w]))
-        pairs, n = np.unique(np.searchsorted(words, u) << 32 | np.searchsorted(words, w), return_counts=True)
+        words = distinct(np.append(w, START))  # what comes first in a pair is START or the second of the pair before
+        second = np.searchsorted(words, w)
+        pairs = np.sort(np.where(u == START, 0, np.roll(second, 1)) << 32 | second)
+        cut = edges(pairs)
+        pairs, n = pairs[cut[:-1]], np.diff(cut)
         u, w = words[pairs >> 32], words[pairs & 0xFFFFFFFF]
         p = part_of(pair_keys(u, w), parts)
         order = np.argsort(p, kind="stable")
@@ -211,7 +289,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     u = np.concatenate([unpack_rising(x) for x in pdf["u"]])
     w = np.concatenate([unpack(x) for x in pdf["w"]])
     n = np.concatenate([unpack(x) for x in pdf["n"]])
-    words = np.unique(np.concatenate([u, w]))
+    words = distinct(np.concatenate([u, w]))
     key = np.searchsorted(words, u) << 32 | np.searchsorted(words, w)
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
@@ -237,7 +315,7 @@ def _known(ranges: int):
 
 def _lexicon(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [(unpack_rising(b[0]), *map(unpack, b[1:])) for b in pdf["blobs"]]
-    words = np.unique(np.concatenate([r[0] for r in rows]))
+    words = distinct(np.concatenate([r[0] for r in rows]))
     sums = np.zeros((3, len(words)), np.int64)
     for own, *values in rows:
         sums[:, np.searchsorted(words, own)] += values
@@ -250,7 +328,7 @@ def _first_seating(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words, u, w, n = _tables_of(blobs)
             many = n > 1
             u, w, n = u[many], w[many], n[many]
-            own = np.unique(np.concatenate([u, w]))
+            own = distinct(np.concatenate([u, w]))
             t = np.ones(len(n), np.int64)
             yield _frame([(p, 0, "", [pack_rising(words[own]), pack_rising(np.searchsorted(own, u)), pack(np.searchsorted(own, w)), pack(n), pack(t), pack(t - 1)], 0, 0)])
 
