@@ -3,7 +3,8 @@
 Texts become ids of a public byte-level vocabulary (its file's path is a parameter). Each task gathers the documents it reads
 into shards of about SHARD ids. In a shard, frequent pairs of ids are repeatedly replaced by nonterminals: a round takes, in
 falling order of count, the pairs whose left and right symbols don't also serve the other side, so that no two occurrences
-overlap and all are replaced at once. Pairs never reach across documents. The rules and their expansion lengths are stored, so
+overlap and all are replaced at once. Pairs never reach across documents.
+A round takes pairs of a SHARE-th of the most frequent one's count and more. The rules and their expansion lengths are stored, so
 one document, or one id of it, is decoded without the rest.
 """
 
@@ -27,8 +28,10 @@ VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tik
 #: Nonterminals begin here; the vocabulary's ids are below.
 FIRST_RULE = 50_257
 SHARD = 1_000_000
-#: A pair of fewer occurrences isn't replaced: its rule would cost more than it saves.
+#: A pair of fewer occurrences isn't replaced: its rule of three numbers would cost as much as it saves.
 LEAST = 4
+#: A round takes pairs of this share of the most frequent one's count and more; 1 would take one count at a time.
+SHARE = 16
 #: Pieces that a worker remembers before it begins anew.
 PIECES = 1_000_000
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,12 +40,23 @@ _IRREGULAR = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not i
 SCHEMA = "shard_id string, doc_ids array<long>, starts array<int>, id_counts array<long>, ids binary, rule_left binary, rule_right binary, rule_length binary"
 
 
+#: A vocabulary file is sent to all workers, so its size is bounded.
+MOST_BYTES = 64 << 20
+
+
+def vocabulary_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    return data
+
+
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(data: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -53,8 +67,8 @@ class Pieces:
     each; texts with other runs of white space are encoded whole. Emptied beyond PIECES, which changes no result.
     """
 
-    def __init__(self, path: str):
-        self.enc, self.at = encoding(path), {}
+    def __init__(self, data: bytes):
+        self.enc, self.at = encoding(data), {}
         self.returns = self.enc.encode_ordinary("\r\r a")[:-1]
         self.flat, self.used, self.first, self.count = np.zeros(1 << 20, np.int32), 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
@@ -109,53 +123,69 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
+def pieces(data: bytes) -> Pieces:
     """One table for all tasks of a worker process."""
-    return Pieces(path)
-
-
-def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(compressed ids, left, right of each rule). -1 in ``x`` is never part of a pair."""
+    return Pieces(data)
+
+
+def _counted(x: np.ndarray, pos: np.ndarray, top: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs at ``pos`` that occur ``least`` times or more: (their places, pair of each, left << 32 | right, counts)."""
+    wide, deep = top.bit_length(), len(pos).bit_length()
+    if 2 * wide + deep <= 63:  # pair and place in one number, so that a plain sort brings equal pairs together
+        key = ((x[pos].astype(np.int64) << wide) | x[pos + 1]) << deep
+        key |= np.arange(len(pos))
+        key.sort()
+        good, order = key >> deep, key & ((1 << deep) - 1)
+    else:
+        key = (x[pos].astype(np.int64) << wide) | x[pos + 1]
+        order = np.argsort(key, kind="stable")
+        good = key[order]
+    edge = np.ones(len(good) + 1, bool)
+    np.not_equal(good[1:], good[:-1], out=edge[1:-1])
+    cut = np.flatnonzero(edge)
+    n = np.diff(cut)
+    some = np.flatnonzero(n >= least)
+    n, pairs = n[some], good[cut[some]]
+    which = np.full(len(pos), -1, np.int32)
+    which[order[np.repeat(cut[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    live = which >= 0
+    return pos[live], which[live], (pairs >> wide) << 32 | pairs & ((1 << wide) - 1), n
+
+
+def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(compressed ids, left, right of each rule). -1 in ``x`` is never part of a pair.
+
+    A pair that occurs fewer than ``least`` times never will again, since a replacement makes only pairs with its new symbol. So a
+    round counts the places left over from the last one and those beside a replacement, not all.
+    """
     x = x.astype(np.int32)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     top = first_rule
-    while len(x) > 1:
-        key = x[:-1].astype(np.int64) << 32
-        key |= x[1:].view(np.uint32)
-        good = np.sort(key)
-        cut = np.flatnonzero(good[1:] != good[:-1]) + 1
-        cut = np.concatenate([[0], cut])
-        n = np.diff(np.concatenate([cut, [len(good)]]))
-        some = np.flatnonzero(n >= least)
-        pairs, n = good[cut[some]], n[some]
-        within = (pairs >= 0) & ((pairs & 0xFFFFFFFF) != 0xFFFFFFFF)
-        pairs, n = pairs[within], n[within]
+    pos = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0))
+    while len(pos):
+        pos, which, pairs, n = _counted(x, pos, top, least)
         if not len(n):
             break
-        often = n >= max(least, int(n.max()) // 48)
-        pairs, n = pairs[often], n[often]
-        pairs = pairs[np.argsort(-n, kind="stable")]
-        side = np.zeros(top + 1, np.int8)  # the last for -1; 1: left of pairs, 2: right, 3: doubled
-        taken = []
-        for p, a, b in zip(pairs.tolist(), (pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):  # noqa: B905
+        often = np.flatnonzero(n >= max(least, int(n.max()) // share))
+        often = often[np.argsort(-n[often], kind="stable")]
+        side, taken = bytearray(top), []  # 1: left of pairs, 2: right, 3: doubled
+        chosen = pairs[often]
+        for k, a, b in zip(often.tolist(), (chosen >> 32).tolist(), (chosen & 0xFFFFFFFF).tolist()):  # noqa: B905
             if a == b:
                 if not side[a]:
                     side[a] = 3
-                    taken.append(p)
+                    taken.append(k)
             elif side[a] in (0, 1) and side[b] in (0, 2):
                 side[a], side[b] = 1, 2
-                taken.append(p)
-        accepted = np.sort(np.array(taken, np.int64))
-        sides = side[x]
-        left, right = sides[:-1], sides[1:]
-        at = np.flatnonzero(((left == 1) & (right == 2)) | ((left == 3) & (right == 3)))
-        key = key[at]
-        k = np.searchsorted(accepted, key)
-        k[k == len(accepted)] = 0
-        hit = accepted[k] == key
-        at, k = at[hit], k[hit]
-        double = sides[at] == 3
+                taken.append(k)
+        taken.sort()
+        rule = np.full(len(pairs), -1, np.int32)
+        rule[taken] = np.arange(len(taken))
+        k = rule[which]
+        at, k = pos[k >= 0], k[k >= 0]
+        accepted = pairs[taken]
+        double = (accepted >> 32 == accepted & 0xFFFFFFFF)[k]
         if double.any():  # of a run only every other place
             d = at[double]
             begin = np.concatenate([[True], d[1:] != d[:-1] + 1])
@@ -163,19 +193,21 @@ def compress(x: np.ndarray, first_rule: int = FIRST_RULE, least: int = LEAST) ->
             keep = np.ones(len(at), bool)
             keep[np.flatnonzero(double)] = (d - start) % 2 == 0
             at, k = at[keep], k[keep]
-        used = np.bincount(k, minlength=len(accepted))
-        worth = used >= 2
+        worth = np.bincount(k, minlength=len(taken)) >= 2
         name = np.cumsum(worth) - 1 + top
-        sel = worth[k]
-        at, k = at[sel], k[sel]
+        at, k = at[worth[k]], k[worth[k]]
         if not len(at):
             break
         lefts.append((accepted >> 32)[worth])
         rights.append((accepted & 0xFFFFFFFF)[worth])
         x[at] = name[k]
+        live = np.zeros(len(x), bool)
+        live[pos] = live[at] = live[np.maximum(at - 1, 0)] = True
         mask = np.ones(len(x), bool)
         mask[at + 1] = False
-        x = x[mask]
+        x, live = x[mask], live[mask]
+        pos = np.flatnonzero(live[:-1])
+        pos = pos[(x[pos] >= 0) & (x[pos + 1] >= 0)]
         top += int(worth.sum())
     empty = np.zeros(0, np.int64)
     return x, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights])
@@ -196,7 +228,7 @@ class Shard:
         self.ids = np.frombuffer(row["ids"], np.int32)
         self.starts = [*row["starts"], len(self.ids)]
         self.left, self.right = (np.frombuffer(row[k], np.int32) for k in ("rule_left", "rule_right"))
-        self.length = np.frombuffer(row["rule_length"], np.int64)
+        self.length = np.frombuffer(row["rule_length"], np.int32).astype(np.int64)
         self.first = first_rule
 
     def document(self, k: int) -> list[int]:
@@ -232,21 +264,23 @@ def _shard(name: str, docs: list, parts: list[np.ndarray]) -> pd.DataFrame:
     ends = np.flatnonzero(x == -1)
     starts = np.concatenate([[0], ends[:-1] - np.arange(len(ends) - 1)]).astype(np.int32)
     row = {"shard_id": name, "doc_ids": docs, "starts": starts, "id_counts": [len(p) for p in parts], "ids": x[x >= 0].astype(np.int32).tobytes()}
-    row |= {"rule_left": left.astype(np.int32).tobytes(), "rule_right": right.astype(np.int32).tobytes(), "rule_length": lengths(left, right).tobytes()}
+    row |= {"rule_left": left.astype(np.int32).tobytes(), "rule_right": right.astype(np.int32).tobytes(), "rule_length": lengths(left, right).astype(np.int32).tobytes()}
     return pd.DataFrame([row])
 
 
 def shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
     """One row a shard: shard_id, doc_ids, starts (each document's place in ids), id_counts (its ids when expanded), ids (int32),
-    rule_left and rule_right (int32), rule_length (int64). Read it with ``Shard``.
+    rule_left, rule_right and rule_length (int32). Read it with ``Shard``.
 
     Every row of ``docs`` is in one shard, in reading order; which, follows the input's splits. A document isn't cut: one of more ids
     than ``shard`` ends its shard. Null and empty texts have no ids but keep their place. Null doc_ids stay null, repeated rows
     are stored each. Empty table: no rows. Other columns are ignored.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))  # MOST_BYTES at most; only the driver needs the path
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = pieces(vocabulary)
+        table_ = pieces(shared.value)
         names, parts, size, k, task = [], [], 0, 0, TaskContext.get().partitionId()
         for b in batches:
             found = (x for lo, hi in chunks(len(b), 512) for x in table_.ids(b["text"].iloc[lo:hi].tolist()))
