@@ -1,7 +1,7 @@
 """Packing by non-negative least squares over shallow length combinations.
 
 1. Every document is cut into pieces of WINDOW words at most; Spark counts the pieces of each length (WINDOW rows).
-2. All combinations of up to DEPTH lengths that sum to WINDOW are enumerated; projected gradient solves
+2. All combinations of up to three lengths that sum to WINDOW are enumerated; projected gradient solves
    min || A x - histogram || with x >= 0, where A[l, s] is how often length l is in combination s.
 3. x is rounded, never using more pieces than there are; what is left is packed best-fit decreasing by lengths.
 4. Pieces take their places by their rank within their length, found with two-level counts instead of one global sort.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from sievemark.llm.common import materialise, table
 
 WINDOW = 2048
-DEPTH = 3
+#: Pieces of one length that a task ranks, about; a frequent length has as many buckets as that takes.
+BUCKET_ROWS = 1 << 19
 STEPS = 150
 #: A run of characters that aren't white space in Unicode's sense.
 WORD = r"(?U)\S+"
@@ -146,14 +147,16 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n")).filter("n > 0")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {window}")))
     pieces = counted.select("doc_id", "n", piece.alias("piece")).select("doc_id", "piece", F.least(F.lit(window).cast("long"), F.expr(f"n - piece * {window}")).alias("length"))
+    pieces = materialise(pieces, "packing")
+    histogram = np.zeros(window + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("k")).collect():  # window rows at most
+        histogram[r["length"]] = r["k"]
     # within a length, rows of one bucket are counted and ranked apart, so that a frequent length isn't one task's work
-    pieces = materialise(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64))), "packing")
+    buckets = F.get(F.array(*[F.lit(int(-(-k // BUCKET_ROWS) or 1)) for k in histogram]), F.col("length").cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = materialise(counts.withColumn("before", before), "packing-counts")  # 64 * window rows at most
-    histogram = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("k").alias("k")).collect():  # window rows at most
-        histogram[r["length"]] = r["k"]
+    counts = counts.withColumn("before", before)  # a row for each length and for each BUCKET_ROWS pieces
     shared = spark.sparkContext.broadcast(segments(plan(histogram, window)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +175,7 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # ids travel as text, since pandas would make a column with nulls doubles
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
-    ranked = pieces.withColumn("nth", nth).join(F.broadcast(counts.select("length", "bucket", "before")), ["length", "bucket"])
+    ranked = pieces.withColumn("nth", nth).join(counts.select("length", "bucket", "before"), ["length", "bucket"])
     return ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "length", (F.col("before") + F.col("nth") - 1).alias("rank")).mapInPandas(place, "doc_id long, piece long, length long, pack_id long, position long")
 
 
