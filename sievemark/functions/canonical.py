@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 RECORD = "check-record/v1/record/sha256:"
 CATALOG = "check-record/v1/catalog/sha256:"
 RECORDS = "check-record/v1/records/sha256:"
-REFERENCE = "check-record/v1/reference/sha256:"
+REFERENCE = "reference/v1/sha256:"
 SAFE = 2**53 - 1
 
 
@@ -82,6 +82,11 @@ def record_id(check_id: Column, record_type_id: Column, identity: dict[str, Colu
     return F.concat(F.lit(RECORD), sha(canonical(checkId=check_id, identityFields=fields, recordTypeId=record_type_id, semanticSubject=semantic_subject)))
 
 
+def reference_id(revision: Column) -> Column:
+    """Identity of a named reference: of its revision alone."""
+    return F.concat(F.lit(REFERENCE), sha(revision))
+
+
 def ordered_digest(rows: DataFrame, text: str, order: list[str], by: list[str], start: str = "", between: str = "", end: str = "") -> DataFrame:
     """(by..., digest, n): sha256 over ``text`` in ``order`` within ``by``, streamed through one sorted task per group.
 

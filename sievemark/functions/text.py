@@ -38,9 +38,11 @@ def level(policy: Column) -> Column:
 
 
 def level_of_areas(policies: Column) -> Column:
-    """Over all areas of a fragment: null if all are excluded, info if all are watchlists, else warning; an unknown policy is neither."""
-    excluded = F.forall(policies, lambda p: F.coalesce(p == "exclude-warnings", F.lit(False)))
-    watch = F.forall(policies, lambda p: F.coalesce(p == "watchlist-only", F.lit(False)))
+    """Over all areas of a fragment: null if all are excluded, info if all are watchlists, else warning; an unknown policy is
+    neither. Without any area it is a warning."""
+    some = F.size(policies) > 0
+    excluded = some & F.forall(policies, lambda p: F.coalesce(p == "exclude-warnings", F.lit(False)))
+    watch = some & F.forall(policies, lambda p: F.coalesce(p == "watchlist-only", F.lit(False)))
     return F.when(~excluded, F.when(watch, "info").otherwise("warning"))
 
 
@@ -57,14 +59,25 @@ def escape_property(text: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    whole = F.floor(ms / 1000)
-    return F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).otherwise(
-        F.concat((whole / 60).cast("long").cast("string"), F.lit("m "), (whole % 60).cast("long").cast("string"), F.lit("s"))
-    )
+    """Whole milliseconds below a second, one decimal below ten seconds, whole seconds below a minute, then ``1m 01s``; ``unknown`` unless finite."""
+    ms = ms.cast("double")
+    half = lambda c: F.floor(c + 0.5).cast("long").cast("string")  # noqa: E731  halves up, as rounding is understood there
+    s = ms / 1000
+    known = F.coalesce(~F.isnan(ms) & (F.abs(ms) != float("inf")), F.lit(False))
+    tenth = F.format_string("%.1f", F.floor(s * 10 + 0.5) / 10)
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.lpad(half(s % 60), 2, "0"), F.lit("s"))
+    return F.when(~known, "unknown").when(ms < 1000, F.concat(half(F.greatest(ms, F.lit(0.0))), F.lit("ms"))).when(s < 10, F.concat(tenth, F.lit("s"))).when(s < 60, F.concat(half(s), F.lit("s"))).otherwise(minutes)
 
 
 def in_zone(ts: Column, zone: str) -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd HH:mm:ss")
+    """``2026-07-01 09:00:00 GMT+09:00 (Asia/Tokyo; source 2026-07-01T00:00:00.000Z)`` of an instant in a session whose zone is UTC; GMT alone has no offset."""
+    local = F.from_utc_timestamp(ts, zone)
+    minutes = F.round((F.unix_timestamp(local) - F.unix_timestamp(ts)) / 60).cast("int")
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(F.abs(minutes) / 60)), F.lit(":"), two(F.abs(minutes) % 60))
+    name = F.concat(F.lit("GMT"), F.when(minutes == 0, "").otherwise(offset))
+    source = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), name, F.lit(f" ({zone}; source "), source, F.lit(")"))
 
 
 def valid_zone(zone: str) -> bool:
@@ -82,8 +95,8 @@ def version_of(text: Column) -> Column:
 
 
 def anchor(heading: Column) -> Column:
-    """Lower case, without punctuation but hyphens, spaces as hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(heading)), "[^\\p{L}\\p{N} _-]", ""), " ", "-")
+    """Lower case; letters, marks, numbers, white space, ``_`` and ``-`` stay, each white space as a hyphen."""
+    return F.regexp_replace(F.regexp_replace(F.lower(heading), "(?U)[^\\p{L}\\p{M}\\p{N}\\s_-]", ""), "(?U)\\s", "-")
 
 
 def any_of(line: Column, patterns: list[str]) -> Column:

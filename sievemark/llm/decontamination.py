@@ -7,7 +7,7 @@
    searched by its exact TF-IDF cosine, so no passage is lost however large the benchmark is.
 3. Every window of WINDOW words, a new one each STRIDE words, of every document is folded into that space; its inner product
    with a passage's place, over the energy that the passage keeps, estimates their cosine. Passages that reach COSINE (less for
-   items too short to fill a window so far) are candidates. A bound (the sum over the window's words of the most that any
+   those that couldn't in a window that holds them verbatim) are candidates. A bound (the sum over the window's words of the most that any
    passage gives the word) tells which windows can reach it; the others aren't folded.
 4. A candidate is a leak where the longest common subsequence of words covers VERBATIM of the passage, or PARAPHRASE of it
    together with ANSWER of the item's answer (its text after an answer mark, else its last sentence).
@@ -33,8 +33,9 @@ WINDOW, STRIDE = 48, 16
 #: Passages that share a latent space, and its dimensions.
 BLOCK, RANK = 256, 128
 KEPT = 0.25
-#: Least cosine of a candidate; for short items FILL of what one that fills its share of a window would have, if that is less.
-COSINE, FILL = 0.4, 0.72
+#: Least cosine of a candidate; or SLACK of the cosine that a verbatim passage has in a window whose other words weigh SURE times
+#: as much as words do on average, if that is less: so that short items, and those of common words, are found.
+COSINE, SLACK, SURE = 0.4, 0.9, 2.0
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.75
 #: Shorter items are looked up word by word.
 MIN_WORDS = 8
@@ -63,8 +64,8 @@ def _sum_chunks(parts: DataFrame, kind: type) -> dict[int, np.ndarray]:
     return {int(c): np.frombuffer(p, name) for c, p in zip(got["chunk"], got["part"], strict=True)}
 
 
-def inverse_frequencies(texts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """idf of each bucket, over all rows of ``texts`` (column text)."""
+def inverse_frequencies(texts: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """(idf of each bucket, mean squared idf of the words that documents have) over all rows of ``texts`` (column text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, df, seen = hashing(bits), np.zeros(1 << bits, np.int64), 0
@@ -83,7 +84,16 @@ def inverse_frequencies(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     got = _sum_chunks(texts.mapInPandas(count, "chunk int, part binary"), np.int64)
     seen = int(got.pop(-1, np.zeros(1))[0])
     df = np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(1 << bits)
-    return np.log((1 + seen) / (1 + df)) + 0.1
+    idf = np.log((1 + seen) / (1 + df)) + 0.1
+    return idf, float((df * idf**2).sum() / max(1, df.sum()))
+
+
+def least_estimate(ids: np.ndarray, idf: np.ndarray, usual: float, cosine: float) -> float:
+    """The estimate at which a passage is a candidate."""
+    words, tf = np.unique(ids, return_counts=True)
+    own = (tf * idf[words] ** 2).sum()
+    verbatim = np.linalg.norm(tf * idf[words]) / np.sqrt(own + max(0, WINDOW - len(ids)) * SURE * usual)
+    return float(min(cosine, SLACK * verbatim))
 
 
 def answer_of(text: str) -> str:
@@ -288,7 +298,7 @@ def tf_idf(ids: np.ndarray, features: np.ndarray, weight: np.ndarray) -> tuple[n
     return at, (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
 
 
-def block_of(part: pd.DataFrame, idf: np.ndarray, spark: SparkSession, rank: int, cosine: float) -> Index:
+def block_of(part: pd.DataFrame, idf: np.ndarray, usual: float, spark: SparkSession, rank: int, cosine: float) -> Index:
     """The latent space of passages of MIN_WORDS words and more: columns item_id, ids, answer."""
     features = np.unique(np.concatenate([np.asarray(p, np.int64) for p in part["ids"]]))
     rows = spark.createDataFrame([(np.asarray(p).tolist(),) for p in part["ids"]], "ids array<int>")
@@ -306,8 +316,7 @@ def block_of(part: pd.DataFrame, idf: np.ndarray, spark: SparkSession, rank: int
         basis = np.concatenate([basis, q[:, np.abs(np.diag(r)) > 1e-6].astype(np.float32)], 1)
     place = x @ basis
     place /= (place * place).sum(1, keepdims=True)
-    sizes = part["ids"].map(len).to_numpy()
-    least = np.minimum(cosine, FILL * np.sqrt(sizes / WINDOW)).astype(np.float32)
+    least = np.array([least_estimate(np.asarray(i, np.int64), idf, usual, cosine) for i in part["ids"]], np.float32)
     listed = [(int(i), np.asarray(p, np.int64), np.asarray(a, np.int64)) for i, p, a in zip(part["item_id"], part["ids"], part["answer"], strict=True)]
     return Index(idf.astype(np.float64), slot, basis, place, least, listed)
 
@@ -326,7 +335,7 @@ def indexes(texts: DataFrame, benchmark: DataFrame, rank: int = RANK, bits: int
     cuts = materialise(items.mapInPandas(cut, "item_id long, ids array<int>, answer array<int>, words array<string>"), "passages").distinct()
     n = cuts.count()
     passes = -(-n // AT_ONCE)
-    idf = inverse_frequencies(texts, bits) if n else None
+    idf, usual = inverse_frequencies(texts, bits) if n else (None, 0.0)
 
     def made() -> Iterator[list]:
         for k in range(passes):
@@ -335,7 +344,7 @@ def indexes(texts: DataFrame, benchmark: DataFrame, rank: int = RANK, bits: int
             got = got.sort_values("key").reset_index(drop=True)
             short = got["words"].map(len) > 0
             long, few = got[~short], got[short]
-            blocks: list = [block_of(long.iloc[a:b], idf, spark, rank, cosine) for a, b in chunks(len(long), BLOCK)]
+            blocks: list = [block_of(long.iloc[a:b], idf, usual, spark, rank, cosine) for a, b in chunks(len(long), BLOCK)]
             yield blocks + ([Short.of((int(i), np.asarray(p, np.int64), list(w)) for i, p, w in zip(few["item_id"], few["ids"], few["words"], strict=True))] if len(few) else [])
 
     return passes, made()

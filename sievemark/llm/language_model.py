@@ -98,9 +98,9 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def groups(sorted_: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(value, where it stands) of sorted values."""
-    values, first = np.unique(sorted_, return_index=True)
-    for v, lo, hi in zip(values.tolist(), first, [*first[1:], len(sorted_)], strict=True):
-        yield v, slice(lo, hi)
+    cut = edges(sorted_)
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        yield int(sorted_[lo]), slice(lo, hi)
 
 
 def by_range(words: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:

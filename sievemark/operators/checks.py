@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions.canonical import canonical, record_id, sha, subject
 from sievemark.functions.text import level, stable_name
-from sievemark.operators.scope import Area, policy_of
+from sievemark.operators.scope import Area, area_of, policy_of
 
 
 def regression(changed: Column, value: Column, baseline: Column, delta: int) -> Column:
@@ -21,7 +21,7 @@ def file_records(files: DataFrame, areas: list[Area], floor: int = 300, allowanc
     rows = files.withColumn("code_limit", limit).withColumn("level", level(policy_of(F.col("area"), areas))).filter("level is not null and code_lines > code_limit")
     message = F.concat(F.lit("File "), "path", F.lit(" has "), "code_lines", F.lit(" code lines (threshold: "), "code_limit", F.lit(")"))
     check, kind, metric = F.lit("file-metrics"), F.lit("file-code-lines"), F.lit("code-lines")
-    return rows.select(record_id(check, kind, {"metric": metric}, subject(F.col("path"))).alias("record_id"), check.alias("check_id"), kind.alias("record_type_id"), "level", F.col("path").alias("semantic_subject"), message.alias("message"), F.col("area").alias("code_area"), "code_limit", metric.alias("metric"), F.col("code_lines").alias("value"))
+    return rows.select(record_id(check, kind, {"metric": metric}, subject(F.col("path"))).alias("record_id"), check.alias("check_id"), kind.alias("record_type_id"), "level", F.col("path").alias("semantic_subject"), message.alias("message"), F.col("area").alias("code_area"), "code_limit", metric.alias("metric"), F.col("code_lines").alias("value"), "path", F.lit(1).cast("long").alias("line"))
 
 
 def file_relations(current: DataFrame, baseline: DataFrame, changed: DataFrame, delta: int) -> DataFrame:
@@ -39,7 +39,7 @@ def function_instances(functions: DataFrame) -> DataFrame:
     rows = functions.withColumn("group_size", F.count("*").over(group)).withColumn("nth", nth.cast("long"))
     lone = (F.col("group_size") == 1) & stable_name(F.col("name"))
     unique = F.concat(F.lit("function:"), canonical(file=F.col("file"), name=F.col("name")))
-    many = F.concat(F.lit("function:"), canonical(ccn=F.col("ccn"), file=F.col("file"), lines=F.col("lines"), name=F.col("name"), occurrence=F.col("nth"), params=F.col("params")))
+    many = F.concat(F.lit("function-instance:"), canonical(file=F.col("file"), name=F.col("name"), occurrence=F.col("nth")))
     return rows.withColumn("occurrence", F.when(~lone, F.col("nth"))).withColumn("semantic_subject", F.when(lone, unique).otherwise(many)).drop("nth")
 
 
@@ -51,8 +51,18 @@ FUNCTION_METRICS = {
 }
 
 
-def function_records(instances: DataFrame, lines: int = 50, low_lines: int = 150, low_below: int = 5, ccn: int = 10, params: int = 5) -> DataFrame:
-    """Up to three records for an instance. The higher line limit holds where the complexity is known and below ``low_below``."""
+SUGGESTIONS = {
+    "lines": "Consider reducing branching or splitting the function when line count and complexity make it hard to review",
+    "ccn": "Consider breaking this function into smaller, more focused functions",
+    "params": "Consider using a parameter object or splitting the function",
+}
+
+
+def function_records(instances: DataFrame, areas: list[Area], generated: list[str], lines: int = 50, low_lines: int = 150, low_below: int = 5, ccn: int = 10, params: int = 5) -> DataFrame:
+    """Up to three records for an instance, of the level that its area's policy gives; files of excluded and unknown areas have none.
+
+    The higher line limit holds where the complexity is known and below ``low_below``.
+    """
     low = F.coalesce(F.col("ccn") < low_below, F.lit(False))
     floor = F.when(low, low_lines).otherwise(lines)
     head = F.concat(F.lit('Function "'), "name", F.lit('" in '), "file", F.lit(":"), "start_line", F.lit(" has "))
@@ -62,20 +72,31 @@ def function_records(instances: DataFrame, lines: int = 50, low_lines: int = 150
         ("ccn", F.lit(ccn), F.concat(head, F.lit("cyclomatic complexity "), "ccn", F.lit(f" (threshold: {ccn} CC)"))),
         ("params", F.lit(params), F.concat(head, "params", F.lit(f" parameters (threshold: {params} parameters)"))),
     ]
-    made = [F.struct(F.lit(FUNCTION_METRICS[m][0]).alias("record_type_id"), F.lit(FUNCTION_METRICS[m][1]).alias("metric"), F.col(m).cast("long").alias("value"), limit.cast("long").alias("metric_limit"), text.alias("message")) for m, limit, text in options]
-    rows = instances.withColumn("r", F.explode(F.array(*made))).select("semantic_subject", "file", "name", "start_line", "r.*").filter("value > metric_limit")
+    made = [
+        F.struct(
+            F.lit(FUNCTION_METRICS[m][0]).alias("record_type_id"), F.lit(FUNCTION_METRICS[m][1]).alias("metric"), F.col(m).cast("long").alias("value"),
+            limit.cast("long").alias("metric_limit"), text.alias("message"), F.lit(SUGGESTIONS[m]).alias("suggestion"),
+        )
+        for m, limit, text in options
+    ]
+    rows = instances.withColumn("code_area", area_of(F.col("file"), areas, generated)).withColumn("level", level(policy_of(F.col("code_area"), areas))).filter("level is not null")
+    rows = rows.withColumn("r", F.explode(F.array(*made))).select("semantic_subject", "file", "name", "start_line", "group_size", "level", "code_area", "r.*").filter("value > metric_limit")
     identity = record_id(F.lit("function-metrics"), F.col("record_type_id"), {"metric": F.col("metric")}, subject(F.col("semantic_subject")))
     return rows.withColumn("record_id", identity)
 
 
-def function_relations(current: DataFrame, baseline: DataFrame, delta: int, metric: str = "lines") -> DataFrame:
-    """(file, name, value, relation) of changed functions. Ambiguous groups and null baseline metrics are ``changed``; absent ones count 0."""
+def function_relations(current: DataFrame, baseline: DataFrame, changed: DataFrame, delta: int, metric: str = "lines", key: str = "start_line") -> DataFrame:
+    """(file, name, key, value, relation) of the functions of files in the changed scope (``changed``: p).
+
+    Ambiguous groups and null baseline metrics are ``changed``; absent functions count 0.
+    """
     was = baseline.groupBy("file", "name").agg(F.count("*").alias("was_n"), F.first(metric).alias("was"))
-    rows = current.join(was, ["file", "name"], "left")
+    scope = changed.select(F.col("p").alias("file")).distinct()
+    rows = current.join(scope, "file", "left_semi").join(was, ["file", "name"], "left")
     vague = ~stable_name(F.col("name")) | (F.col("group_size") != 1) | (F.coalesce("was_n", F.lit(0)) > 1)
     base = F.when(F.col("was_n").isNull(), 0).otherwise(F.col("was"))
     relation = F.when(vague | base.isNull(), "changed").otherwise(regression(F.lit(True), F.col(metric), base, delta))
-    return rows.filter(F.col(metric).isNotNull()).select("file", "name", "start_line", F.col(metric).alias("value"), relation.alias("relation"))
+    return rows.filter(F.col(metric).isNotNull()).select("file", "name", key, F.col(metric).alias("value"), relation.alias("relation"))
 
 
 def duplicate_subjects(fragments: DataFrame) -> DataFrame:
@@ -84,7 +105,7 @@ def duplicate_subjects(fragments: DataFrame) -> DataFrame:
     print_ = sha(canonical(lineCount=F.col("line_count"), paths=paths, tokenCount=F.col("token_count")))
     rows = fragments.withColumn("fingerprint", print_)
     nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("ordinal")).cast("long")
-    return rows.withColumn("occurrence", nth).withColumn("semantic_subject", F.concat(F.lit("duplicate:"), "fingerprint", F.lit(":"), "occurrence"))
+    return rows.withColumn("occurrence", nth).withColumn("semantic_subject", F.concat(F.lit("duplicate-fragment/v1/sha256:"), "fingerprint", F.lit("/occurrence:"), "occurrence"))
 
 
 def duplicate_relations(current: DataFrame, baseline: DataFrame, hits: DataFrame, delta: int) -> DataFrame:

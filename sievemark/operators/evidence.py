@@ -62,6 +62,34 @@ def top(rows: DataFrame, section: str, order: list, n: int = 20) -> DataFrame:
 
 
 def annotations(records: DataFrame, n: int = 5) -> DataFrame:
-    """CI lines of the first n records, by id, that aren't only informative."""
+    """CI lines of the first n records, by id, that aren't only informative. Of path, line and record_type_id those that are there."""
     rows = records.filter("level <> 'info'").orderBy("record_id").limit(n)
-    return rows.select("record_id", F.concat(F.lit("::"), "level", F.lit(" file="), escape_property(F.col("semantic_subject")), F.lit(",line=1::"), escape_data(F.col("message"))).alias("line"))
+    given = [(k, F.col(c).cast("string")) for k, c in (("file", "path"), ("line", "line"), ("title", "record_type_id"))]
+    attributes = F.concat_ws(",", *[F.when(v != "", F.concat(F.lit(k + "="), escape_property(v))) for k, v in given])
+    return rows.select("record_id", F.concat(F.lit("::warning "), attributes, F.lit("::"), escape_data(F.col("message"))).alias("line"))
+
+
+def headings(documents: DataFrame) -> DataFrame:
+    """(doc, pos, heading) of the ATX headings of Markdown documents (doc, content), outside of front matter and of fenced code.
+
+    Front matter begins with a first line ``---`` and ends with ``---`` or ``...``, at the document's end if nowhere. A fence of three
+    or more backticks or tildes ends with as many or more of the same and nothing else. Null content has no headings.
+    """
+    lines = F.split(F.regexp_replace("content", "^\ufeff", ""), "\r?\n")
+    closing = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda s: F.trim(s).isin("---", "...")), True)
+    front = F.when(F.trim(F.get(lines, F.lit(0))) == "---", F.when(closing > 0, closing + 1).otherwise(F.size(lines))).otherwise(0)
+    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("pos"), F.array().cast("array<struct<pos: int, heading: string>>").alias("found"))
+
+    def step(state, line):
+        opening = F.regexp_extract(line, "^ {0,3}(`{3,}|~{3,})", 1)
+        closes = F.regexp_extract(line, "^ {0,3}(`+|~+)[ \t]*$", 1)
+        ends = closes.startswith(F.substring(state["fence"], 1, 1)) & (closes != "") & (F.length(closes) >= F.length(state["fence"]))
+        inside, text = state["fence"] != "", F.regexp_extract(line, "^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)
+        fence = F.when(inside & ends, "").when(inside, state["fence"]).otherwise(opening)
+        is_heading = ~inside & (opening == "") & (text != "")
+        found = F.when(is_heading, F.concat(state["found"], F.array(F.struct(state["pos"].alias("pos"), text.alias("heading"))))).otherwise(state["found"])
+        return F.struct(fence.alias("fence"), (state["pos"] + 1).alias("pos"), found.alias("found"))
+
+    body = F.slice(lines, front.cast("int") + 1, F.greatest(F.size(lines) - front.cast("int"), F.lit(0)))
+    got = documents.filter("content is not null").select("doc", F.explode(F.aggregate(body, start, step)["found"]).alias("h"))
+    return got.select("doc", F.col("h.pos").cast("long").alias("pos"), "h.heading")

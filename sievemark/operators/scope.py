@@ -1,10 +1,10 @@
-"""Scope, areas, changes."""
+"""Scope, areas, changes."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions import globs
@@ -12,6 +12,8 @@ from sievemark.functions.canonical import ordered_digest
 
 #: A changed list of at most so many rows is broadcast; beyond, paths meet by an equi-join on their substrings.
 FEW = 10_000
+#: Paths that an area's payload lists, the feature's own limit.
+LISTED = 200
 
 
 @dataclass(frozen=True)
@@ -71,9 +73,13 @@ def hit_fragments(fragments: DataFrame, changed: DataFrame, key: str = "fragment
 
 
 def area_fingerprints(files: DataFrame) -> DataFrame:
-    """(area, file_count, fingerprint) of columns area, path, content_hash: digest over ``path NUL hash LF`` in path order, then the count."""
+    """(area, file_count, file_list, fingerprint) of columns area, path, content_hash: digest over ``path NUL hash LF`` in path
+    order, then the count; the list holds the first LISTED paths."""
     rows = files.withColumn("line", F.concat("path", F.lit("\u0000"), "content_hash", F.lit("\n")))
-    return ordered_digest(rows, "line", ["path"], ["area"]).select("area", F.col("n").alias("file_count"), F.concat("digest", F.lit(":"), "n").alias("fingerprint"))
+    digests = ordered_digest(rows, "line", ["path"], ["area"]).select("area", F.col("n").alias("file_count"), F.concat(F.lit("sha256:"), "digest", F.lit(":"), "n").alias("fingerprint"))
+    first = files.select("area", "path", F.row_number().over(Window.partitionBy("area").orderBy("path")).alias("nth")).filter(F.col("nth") <= LISTED)
+    lists = first.groupBy("area").agg(F.array_sort(F.collect_list("path")).alias("file_list"))
+    return digests.join(lists, "area").select("area", "file_count", "file_list", "fingerprint")
 
 
 def revision_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievemark.llm import bloom, chat, common, decontamination, exact_dedup, language_model, near_dedup, packing, quality, repair, toxicity, urls
 
@@ -34,27 +36,35 @@ def awkward():
 
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) as k")
-    made = bloom.build(keys)
-    mine = keys.toPandas()["k"].to_numpy()
-    other = spark.range(100_000, 120_000).selectExpr("xxhash64(id) as k").toPandas()["k"].to_numpy()
-    assert made.might_contain(mine).all()
-    assert made.might_contain(other).mean() < 0.05
-    assert bloom.build(keys, most_bytes=64) is None
-    assert not bloom.build(keys.limit(0)).might_contain(other).any()
-    mixed = spark.range(200).selectExpr("if(id % 3 = 0, null, id) as a", "id as b")  # nulls beside large keys
+    other = spark.range(100_000, 120_000).selectExpr("xxhash64(id) as k")
+    for most, slices in ((bloom.MOST_BYTES, 1), (2048, 4)):
+        made = bloom.build(keys, most_bytes=most)
+        assert len(made) == slices and all(m.words.nbytes <= most for m in made)
+        ask = lambda df, made=made: bloom.tested(df, F.col("k"), made, "maybe")
+        assert ask(keys).filter("maybe").count() == 5000 and ask(other).count() == 20_000
+        assert ask(other).filter("maybe").count() < 1000
+        assert ask(spark.sql("select cast(null as long) as k")).first()["maybe"] is False
+    assert not bloom.tested(other, F.col("k"), bloom.build(keys.limit(0)), "maybe").filter("maybe").count()
+    mixed = spark.sql("select if(id % 7 = 0, null, id) as a, id as b from range(500)")
     gone = spark.range(0, 200, 2).toDF("a")
-    want = sum(r["a"] is None or r["a"] % 2 for r in mixed.collect())
+    want = sum(r["a"] is None or r["a"] >= 200 or r["a"] % 2 for r in mixed.collect())
     assert bloom.without(mixed, gone, ["a"]).count() == want
-    assert bloom.narrowed(mixed, gone, ["a"]).join(gone, "a").count() == 200 - want
+    assert bloom.narrowed(mixed, gone, ["a"]).join(gone, "a").count() == 500 - want
+
+
+def test_a_filter_that_takes_too_many_passes_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MOST_BYTES", 32)
+    rows, gone = spark.range(2000).toDF("a"), spark.range(0, 2000, 2).toDF("a")
+    assert bloom.without(rows, gone, ["a"]).count() == 1000 and bloom.narrowed(rows, gone, ["a"]).join(gone, "a").count() == 1000
 
 
 def test_urls_equal_a_plain_join_with_and_without_the_filter(spark):
-    pages = [(1, "HTTP://www.A.example:80/x/?utm_source=q&b=2&a=1#f"), (2, "https://a.example/x?a=1&b=2"), (3, "https://a.example/y"), (4, None), (5, ""), (6, "https://a.example/x/index.html?b=2&a=1"), (2, "https://a.example/x?a=1&b=2")]
+    pages = [(1, "HTTP://www.A.example:80/x/?utm_source=q&b=2&a=1#f"), (2, "https://a.example/x?a=1&b=2"), (3, "https://a.example/y"), (4, None), (5, ""), (6, "https://a.example/x/index.html?b=2&a=1"), (7, "https://a.example/" + "x" * 200_000), (2, "https://a.example/x?a=1&b=2")]
     p = spark.createDataFrame([(i, u, "h", True, "c") for i, u in pages], "page_id long, url string, html string, listed boolean, canonical_url string")
     bad = spark.createDataFrame([("http://m.a.example/x?a=1&b=2&ref=z",), (None,), ("",), ("http://m.a.example/x?a=1&b=2",)], "url string")
-    for most in (bloom.MOST_BYTES, 1):
+    for most in (bloom.MOST_BYTES, 32):
         got = sorted((r["page_id"], r["listed"]) for r in urls.listed(p, bad, most_bytes=most).collect())
-        assert got == [(1, True), (2, True), (2, True), (3, False), (4, False), (5, False), (6, True)]
+        assert got == [(1, True), (2, True), (2, True), (3, False), (4, False), (5, False), (6, True), (7, False)]
     assert urls.listed(p.limit(0), bad).count() == 0
     assert not any(r["listed"] for r in urls.listed(p, bad.limit(0)).collect())
 
@@ -160,7 +170,7 @@ def test_preferences_against_brute_force(spark):
             assert trained == "".join(f"{x}<|end|>\n" for _, role, x in rest if role == "assistant")
     empty = frame({})
     assert chat.preferences(empty, empty).count() == 0
-    assert chat.preferences(*chat.stale_replies(empty)).count() == 0
+    assert chat.stale_preferences(empty).count() == 0
 
 
 def test_packing_uses_every_piece_once_and_overfills_nothing(spark, awkward):
@@ -248,10 +258,6 @@ def test_decontamination_finds_verbatim_items_of_a_benchmark_larger_than_the_ran
     assert got >= {(i, i) for i, _ in items}
 
 
-def test_passes_keep_an_items_passages_together():
-    assert decontamination.passes(np.array([1, 1, 2, 2, 2, 2, 3, 4]), 3) == [(0, 2), (2, 6), (6, 8)]
-
-
 def test_randomised_svd_spans_the_exact_space(spark):
     rng = np.random.default_rng(3)
     rows = [sorted(rng.choice(60, 12).tolist()) for _ in range(20)]
@@ -285,11 +291,23 @@ def test_exact_dedup_against_brute_force(spark, awkward, tmp_path):
 
 
 def test_state_keeps_the_first_arrival_over_micro_batches(spark, tmp_path):
-    source = tmp_path / "arrivals"
-    for k, ids in enumerate([[1, 2], [3, 4]]):
-        spark.createDataFrame([(b"d", str(i), i, "f", i) for i in ids], exact_dedup._KEY_SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
-    got = exact_dedup.stream_groups(spark, str(source)).collect()
-    assert [(r["ord"], r["file"]) for r in got] == [(1, "f")]
+    source, state = tmp_path / "arrivals", str(tmp_path / "state")
+    for run, ids in enumerate([[5, 2], [1, 4]]):
+        spark.createDataFrame([(run, b"d", str(i), i, "f", i) for i in ids], exact_dedup._KEY_SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        got = exact_dedup.stream_groups(spark, str(source), state).collect()
+        assert [(r["ord"], r["run"], r["n"]) for r in got] == [(2, 0, 2 + 2 * run)]
+
+
+def test_a_second_arrival_meets_the_state_of_the_first(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT", 4)  # copies of one text are parted
+    state, arrivals = str(tmp_path / "kept"), [[(7, "a"), (8, "b"), (9, "a"), (3, None)], [(1, "a"), (2, "c"), (4, "c"), (5, "d")] + [(20 + k, "e") for k in range(30)], [(0, "e"), (6, "new")]]
+    want = [{(9, 7)}, {(1, 7), (4, 2)} | {(20 + k, 20) for k in range(1, 30)}, {(0, 20)}]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for k, rows in enumerate(arrivals):
+        docs(spark, rows).write.parquet(str(tmp_path / f"d{k}"))
+        got = exact_dedup.duplicates(spark.read.parquet(str(tmp_path / f"d{k}")), state).collect()
+        assert {(r["doc_id"], r["kept_doc_id"]) for r in got} == want[k] and len(got) == len(want[k])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
 def _jaccard(a, b):
@@ -397,51 +415,107 @@ def test_tables_drawn_follow_the_exact_conditional():
         return total / total.sum()
 
     assert np.allclose(np.bincount(t, minlength=n + 1) / len(t), weights(n), atol=0.01)
-    large = language_model.draw_tables(np.full(500, 5000), np.full(500, rest), np.full(500, 1e-3), rng)
-    assert (large >= 1).all() and (large <= 5000).all()
-
-
-def test_language_model_is_a_distribution_and_beats_the_unigram(spark, awkward):
+    n = 200  # beyond EXACT, where customers are seated one after the other and then in chunks
+    stirling = language_model.log_stirling(n, d)[n, 1:]
+    k = np.arange(1, n + 1)
+    log = stirling + np.cumsum(np.log(s + d * (rest + k - 1)) + np.log(base))
+    p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+    large = language_model.draw_tables(np.full(20_000, n), np.full(20_000, rest), np.full(20_000, base), rng)
+    mean = (p * k).sum()
+    assert abs(large.mean() / mean - 1) < 0.05 and abs(large.std() / np.sqrt((p * (k - mean) ** 2).sum()) - 1) < 0.1
+
+
+def _plain(model):
+    """(sections {(u, w): (customers, mean tables)}, words {code: (customers, [(tables, dishes, parent's tables) of each sample])})."""
+    rows = model.sections.toPandas()
+    sections, words = {}, {}
+    for _, g in rows.groupby("p"):
+        codes, u, w, n = language_model._tables_of(g[g.kind == 0].blobs.iloc[0])
+        t = np.ones(len(n))
+        t[n > 1] = language_model.unpack(g[g.kind == 1].blobs.iloc[0][0]) / len(model.totals)
+        sections |= {(int(codes[a]), int(codes[b])): (int(c), float(x)) for a, b, c, x in zip(u, w, n, t)}
+    for blobs in model.lexicon.toPandas()["blobs"]:
+        codes, n, *drawn = language_model.unpack_rising(blobs[0]), language_model.unpack(blobs[1]), *map(language_model.unpack, blobs[5:])
+        words |= {int(c): (int(n[i]), [tuple(int(drawn[3 * s + k][i]) for k in range(3)) for s in range(len(model.totals))]) for i, c in enumerate(codes)}
+    return sections, words
+
+
+def _probability(model, sections, words, u, w, own=0):
+    """By the textbook's formula, from the tables drawn."""
+    d, s = language_model.DISCOUNT, language_model.STRENGTH
+    c, t = sections.get((u, w), (0, 0.0))
+    n, of_u = words.get(u, (0, [(0, 0, 0)] * len(model.totals)))
+    _, of_w = words.get(w, (0, [(0, 0, 0)] * len(model.totals)))
+    back = 0.0
+    for k, (customers, tables) in enumerate(model.totals):
+        _, dishes, up = of_w[k]
+        back += (s + d * of_u[k][0]) * ((dishes - d * up) + (s + d * tables) / (model.size + 1)) / (s + customers) / len(model.totals)
+    own = min(own, c)
+    t *= 1 - own / max(c, 1)
+    return (c - own - d * t + back) / (s + n - own)
+
+
+def test_language_model_against_plain_code(spark, awkward):
     rng = random.Random(14)
     follow = {w: rng.sample(WORDS, 3) for w in WORDS}
 
     def text(n):
-        w = rng.choice(WORDS)
-        out = [w]
+        out = [rng.choice(WORDS)]
         for _ in range(n):
-            w = rng.choice(follow[w])
-            out.append(w)
+            out.append(rng.choice(follow[out[-1]]))
         return " ".join(out)
 
     rows = [(1000 + k, text(40)) for k in range(150)]
     model = language_model.train(docs(spark, rows))
-    r = model.sections.toPandas()
-    single = np.sort(np.concatenate([language_model.unpack_keys(x) for x in r["single"]]))
-    keys = np.concatenate([language_model.unpack_keys(x) for x in r["keys"]])
-    n = np.concatenate([language_model.unpack_counts(x) for x in r["counts"]])
-    t = np.concatenate([language_model.unpack_counts(x) for x in r["sum"]]) / language_model.SAMPLES
-    order = np.argsort(keys)
-    u = common.hashed("alpha", language_model.BITS)
-    everything = u * language_model.SIZE + np.arange(language_model.SIZE)
-    p = language_model.predict(everything, single, keys[order], n[order], t[order], model.shared())
-    assert abs(p.sum() - 1) < 0.02
-    assert n.sum() + len(single) == sum(len(x.split()) + 1 for _, x in rows)
-    held = language_model.score(docs(spark, [(1, text(60)), (2, " ".join(rng.choice(WORDS) for _ in range(61))), *[(i, x) for i, x in awkward if i != 6 and i != 7]]), model).collect()
-    by = {r["doc_id"]: r for r in held if r["doc_id"] in (1, 2) and r["tokens"] > 1}
-    assert len(held) == len(awkward)
-    assert by[1]["perplexity"] < 6 < by[2]["perplexity"]
-    assert all(r["perplexity"] is None for r in held if r["tokens"] == 0)
+    sections, words = _plain(model)
+    code = language_model.word_code
+    pairs = lambda t: list(zip([language_model.START, *map(code, t.split())], [*map(code, t.split()), language_model.END]))
+    counts = Counter(p for _, t in rows for p in pairs(t))
+    assert {p: c for p, (c, _) in sections.items()} == counts
+    assert all(1 <= t <= c for c, t in sections.values()) and model.size == len(WORDS) + 1
+    assert all(n == sum(c for (a, _), c in counts.items() if a == u) for u, (n, _) in words.items())
+    for k in range(len(model.totals)):  # every table is a customer of the parent
+        assert sum(x[k][0] for _, x in words.values()) == sum(x[k][1] for _, x in words.values()) == model.totals[k][0]
+        assert all(min(x[k][1], 1) <= x[k][2] <= max(x[k][1], 0) for _, x in words.values())
+    assert abs(sum(t for _, t in sections.values()) - np.mean([c for c, _ in model.totals])) < 1e-6
+    for u in (code("alpha"), language_model.START, 12345):  # all words and the one for those never seen
+        assert abs(sum(_probability(model, sections, words, u, w) for w in [*(x for x in words if x != language_model.START), 99]) - 1) < 1e-6
+    long = " ".join(text(5000) for _ in range(6))
+    held = [(1, text(60)), (2, " ".join(rng.choice(WORDS) for _ in range(61))), (3, "never seen words here"), (4, long), (None, "alpha"), (5, ""), (6, None)]
+    got = {r["doc_id"]: r for r in language_model.score(docs(spark, held), model).collect()}
+    for i, t in held:
+        want = sum(math.log(_probability(model, sections, words, *p)) for p in pairs(t)) if t else 0.0
+        assert got[i]["log_probability"] == pytest.approx(want, rel=1e-9) and got[i]["tokens"] == (len(pairs(t)) if t else 0)
+        assert got[i]["perplexity"] is None if not t else got[i]["perplexity"] == pytest.approx(math.exp(-want / len(pairs(t))), rel=1e-9)
+    assert got[1]["perplexity"] < 6 < got[2]["perplexity"]
+    seen = {r["doc_id"]: r for r in language_model.score(docs(spark, rows), model, seen=True).collect()}
+    for i, t in rows[:20]:
+        own = Counter(pairs(t))
+        want = sum(math.log(_probability(model, sections, words, *p, own[p])) for p in pairs(t))
+        assert seen[i]["log_probability"] == pytest.approx(want, rel=1e-9)
     assert language_model.score(docs(spark, rows).limit(0), model).count() == 0
     empty = language_model.train(docs(spark, []).limit(0))
     assert language_model.score(docs(spark, rows[:3]), empty).count() == 3
+    assert len(language_model.score(docs(spark, awkward), model).collect()) == len(awkward)  # very long texts that the model hasn't seen, too
     full = language_model.score(docs(spark, awkward), language_model.train(docs(spark, awkward)), seen=True)
     assert full.count() == len(awkward)
 
 
+def test_counts_travel_whole():
+    for x in ([], [0], [5_000_000_000, 1, 2**40], [2**62]):
+        assert language_model.unpack(language_model.pack(np.array(x, np.int64))).tolist() == x
+    assert language_model.unpack_rising(language_model.pack_rising(np.array([3, 3, 2**40]))).tolist() == [3, 3, 2**40]
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    for n in (50, 5000):
+        assert language_model.train(docs(spark, [(k, f"word{k} word{k + 1}") for k in range(n)]), 0, 1).size == n + 2
+
+
 def test_repair_round_trip_and_random_access(spark, awkward):
     rng = random.Random(15)
     rows = awkward + [(50 + k, sentence(rng, 80) + rng.choice(["", " ", "  x", "\n", "\n\ny", "\tz", " aaaa aaaa aaaa aaaa aaaa"])) for k in range(60)]
-    enc = repair.encoding(repair.VOCABULARY)
+    enc = repair.encoding(repair.vocabulary_file(repair.VOCABULARY))
     want = sorted(((i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows), key=str)
     got = []
     for row in repair.shards(docs(spark, rows), shard=3000).collect():
@@ -473,3 +547,43 @@ def test_no_module_swallows_import_errors_or_uses_local_checkpoints():
 
     for p in [*Path(common.__file__).parent.glob("*.py"), Path(common.__file__).parents[2] / "corpus_pipeline.py"]:
         assert not re.search(r"except (ImportError|ModuleNotFoundError)|localCheckpoint", p.read_text())
+
+
+def textbook_repair(x, first, least):
+    """One pair at a time, the most frequent one, non-overlapping from the left."""
+    x, rules = list(x), []
+    while True:
+        n, last = Counter(), {}
+        for i, p in enumerate(zip(x, x[1:])):
+            if -1 not in p and last.get(p) != i - 1:
+                n[p] += 1
+                last[p] = i
+        if not n or max(n.values()) < least:
+            return x, rules
+        best, out, i = max(n, key=lambda p: (n[p], p)), [], 0
+        while i < len(x):
+            if tuple(x[i : i + 2]) == best:
+                out.append(first + len(rules))
+                i += 2
+            else:
+                out.append(x[i])
+                i += 1
+        x = out
+        rules.append(best)
+
+
+def test_compression_beside_the_textbook():
+    rng = random.Random(16)
+    words = [[rng.randrange(60) for _ in range(rng.randint(1, 5))] for _ in range(80)]
+    x = [i for _ in range(60) for i in [*(v for _ in range(20) for v in rng.choice(words[: rng.randint(1, 80)])), -1]]
+    plain, rules = textbook_repair(x, 100, repair.LEAST)
+    y, left, right = repair.compress(np.array(x), 100)
+    assert len(y) + 3 * len(left) <= 1.08 * (len(plain) + 3 * len(rules))
+    rule = {100 + k: p for k, p in enumerate(zip(left.tolist(), right.tolist()))}
+
+    def expand(s):
+        return [s] if s not in rule else expand(rule[s][0]) + expand(rule[s][1])
+
+    assert [i for s in y.tolist() for i in expand(s)] == x
+    again = Counter(p for p in zip(y.tolist(), y[1:].tolist()) if -1 not in p and p[0] != p[1])
+    assert max(again.values()) < repair.LEAST  # no pair is left that would be worth a rule
