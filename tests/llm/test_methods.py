@@ -138,8 +138,34 @@ def _scan(rows, bench):
     return found
 
 
+def _holds(text, item):
+    """Some window and some passage of the item meet the word-sequence conditions, whatever their cosine."""
+    D = decontamination
+    memo = common.hashing(D.BITS)
+    t = [memo[w] for w in text.split() if memo[w] >= 0]
+    for _, ids, answer, _ in D.passages(0, item):
+        spare = max(D.STRIDE, len(ids) // 4)
+        for start in range(0, len(t), D.STRIDE):
+            hay = np.array(t[max(0, start - spare) : start + D.WINDOW + spare])
+            share = _plain_lcs(ids.tolist(), hay.tolist()) / len(ids)
+            if share >= D.VERBATIM or share >= D.PARAPHRASE and len(answer) and _plain_lcs(answer.tolist(), hay.tolist()) / len(answer) >= D.ANSWER:
+                return True
+    return False
+
+
+def _plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
 def test_latent_retrieval_against_a_scan_of_all_windows(spark):
-    """Fewer dimensions than passages, passages that lose energy, verbatim items of 8 words and more, and paraphrases."""
+    """Fewer dimensions than passages, passages that lose energy, verbatim items of 8 words and more, and paraphrases. What the
+    latent space finds beyond the exact cosine must hold the item's words all the same."""
     rng = random.Random(22)
     prose = lambda n: [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(n)]
     bench = [(k, " ".join(prose(rng.randint(8, 60))) + " answer: " + " ".join(prose(4))) for k in range(160)]
@@ -157,7 +183,9 @@ def test_latent_retrieval_against_a_scan_of_all_windows(spark):
     for rank in (decontamination.RANK, 40):
         got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b, rank=rank).collect()}
         assert {x for x in want if x[0] < 1000 and x[0] == x[1]} <= got
-        assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+        assert len(got & want) >= 0.98 * len(want)
+        texts = dict(rows)
+        assert all(_holds(texts[d], dict(bench)[i]) for d, i in sorted(got - want)[::5])
 
 
 def test_short_items_are_found_word_by_word(spark):
