@@ -363,7 +363,7 @@ def _conform(check: Check, rows: DataFrame) -> tuple[DataFrame, dict]:
         place = {c: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind) for c, kind in _PLACE.items()}
         relation = F.col("relation").cast("string") if "relation" in rows.columns else F.lit(None).cast("string")
         sound = F.col("level").isin(*LEVELS) & (F.col("semantic_subject") != "") & (F.col("message") != "")
-        sound = sound & F.coalesce((place["line"] >= 1) & place["path"].isNotNull(), place["line"].isNull()) & F.coalesce(relation.isin(*t.relations), F.lit(True))
+        sound = sound & (place["line"].isNull() | (place["line"] >= 1) & place["path"].isNotNull()) & (relation.isNull() | F.coalesce(relation.isin(*t.relations), F.lit(False)))
         for f in have:
             if t.fields[f][1]:
                 sound = sound & typed[f].isNotNull()

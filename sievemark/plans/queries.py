@@ -772,7 +772,7 @@ def full_run(spark, d):
 #: Acceptance by level, a view by relation, one of all, readiness by all four kinds of clause, and a block on the regressed.
 COMPARED = {
     "references": [{"reference_name": "base", "check_ids": ["file-metrics", "function-metrics"]}],
-    "acceptance": [{"acceptance_id": "watched", "reason": "watched", "check_id": c, "record_type_id": t, "predicates": [{"kind": "operand-equals", "operand": "level", "value": "info"}]} for c, t in [("file-metrics", "file-code-lines"), ("function-metrics", "function-code-lines")]],
+    "acceptance": [{"acceptance_id": f"watched-{t}", "reason": "watched", "check_id": c, "record_type_id": t, "predicates": [{"kind": "operand-equals", "operand": "level", "value": "info"}]} for c, t in [("file-metrics", "file-code-lines"), ("function-metrics", "function-code-lines")]],
     "views": [
         {"view_id": "open", "selectors": [("file-metrics", "file-code-lines"), ("function-metrics", "function-code-lines")], "acceptance": "unaccepted"},
         {"view_id": "regressed", "selectors": [("file-metrics", "file-code-lines"), ("function-metrics", "function-code-lines")], "acceptance": "unaccepted", "predicates": [{"kind": "relation-is", "reference_name": "base", "relation_id": "regression"}]},

@@ -94,12 +94,16 @@ def test_function_ambiguity_and_relations(spark):
     by = {(r["name"], r["start_line"]): r for r in i.collect()}
     assert by["g", 1]["semantic_subject"] == 'function:{"file":"f","name":"g"}' and by["g", 1]["occurrence"] is None
     assert [by["h", 5]["occurrence"], by["h", 9]["occurrence"], by["unknown", 20]["occurrence"]] == [1, 2, 1]
-    got = {(r["name"], r["metric"]) for r in checks.function_records(i).collect()}
+    everywhere = [scope.Area("all", ("**",))]
+    got = {(r["name"], r["metric"]) for r in checks.function_records(i, everywhere, []).collect()}
     assert got == {("unknown", "function-code-density"), ("unknown", "parameter-count"), ("new", "cyclomatic-complexity")}
     old = spark.createDataFrame([("f", "g", 1, 80, None, 1, 0)], schema)
-    rel = {(r["name"], r["start_line"]): r["relation"] for r in checks.function_relations(i, old, 2).collect()}
+    rel = {(r["name"], r["start_line"]): r["relation"] for r in checks.function_relations(i, old, spark.createDataFrame([("f",)], "p string"), 2).collect()}
     assert rel == {("g", 1): "regression", ("h", 5): "changed", ("h", 9): "changed", ("unknown", 20): "changed", ("new", 30): "regression"}
-    assert {r["name"]: r["relation"] for r in checks.function_relations(i, old, 2, "ccn").collect()}["g"] == "changed"
+    assert {r["name"]: r["relation"] for r in checks.function_relations(i, old, spark.createDataFrame([("f",)], "p string"), 2, "ccn").collect()}["g"] == "changed"
+    assert checks.function_relations(i, old, spark.createDataFrame([("other",)], "p string"), 2).count() == 0
+    for policy_, want in (("exclude-warnings", set()), ("watchlist-only", {"info"})):
+        assert {r["level"] for r in checks.function_records(i, [scope.Area("all", ("**",), (), policy_)], []).collect()} == want
 
 
 def test_batches_are_whole_or_void(spark):
@@ -176,7 +180,7 @@ def test_policy_and_gate(spark):
     assert policy.select(rec, [("c", "t")], [policy.operand_equals("value", 5)]).count() == 1
     clauses = spark.createDataFrame([(0, "a", True), (1, "b", False), (2, "c", True)], "ordinal long, readiness_id string, ok boolean")
     ready = policy.readiness(clauses)
-    assert [r["state"] for r in ready.orderBy("ordinal").collect()] == ["passed", "failed", "skipped"]
+    assert [r["state"] for r in ready.orderBy("ordinal").collect()] == ["passed", "failed"]
     hit = spark.createDataFrame([(True,)], "matched boolean")
     assert tuple(policy.gate(ready, hit).first()) == ("not-evaluated", "b")
     good = policy.readiness(clauses.filter("ok"))
@@ -227,8 +231,8 @@ def test_run_decides_and_publishes(spark, tmp_path):
 
     files = tables.files(spark, D)
     config = define_config(
-        [file_metrics(6, 12, 10, options={"areas": tables.AREAS}), duplicate_detection(20), function_metrics(options={"lines": 40, "low_lines": 80, "params": 2, "ccn": 4}, depends_on=("file-metrics",))],
-        policy={"acceptance": [{"acceptance_id": "watched", "reason": "r", "check_id": "file-metrics", "record_type_id": "file-code-lines", "operands": [{"operand": "level", "equals": "info"}]}], "views": [{"view_id": "open", "selectors": [("file-metrics", "file-code-lines")], "acceptance": "unaccepted"}], "readiness": [{"readiness_id": "files-ready", "check_id": "file-metrics"}], "block_when_not_empty": "open"},
+        [file_metrics(6, 12, 10, options={"areas": tables.AREAS}), duplicate_detection(20, options={"areas": tables.AREAS}), function_metrics(options={"areas": Q.FUNCTION_AREAS, "lines": 40, "low_lines": 80, "params": 2, "ccn": 4}, depends_on=("file-metrics",))],
+        policy={"acceptance": [{"acceptance_id": "watched", "reason": "r", "check_id": "file-metrics", "record_type_id": "file-code-lines", "predicates": [{"kind": "operand-equals", "operand": "level", "value": "info"}]}], "views": [{"view_id": "open", "selectors": [("file-metrics", "file-code-lines")], "acceptance": "unaccepted"}], "readiness": [{"readiness_id": "files-ready", "kind": "check-outcome", "check_id": "file-metrics", "outcome": "completed"}], "block_when": {"kind": "view-not-empty", "view_id": "open"}},
     )
     result = run(spark, config, {"files": measured_files(files), "functions": tables.functions(spark, D)})
     assert result.diagnostics == [] and result.gate.first()[0] == "failed" and result.status.first()[0] == "warning"
@@ -268,7 +272,7 @@ def test_definitions_are_checked(spark):
 def test_text_functions(spark):
     r = spark.createDataFrame([("a%\r\n:,b", "C:\\w\\x.ts", 61_500, "tool v1.22.3 x")], "s string, p string, ms long, v string")
     got = r.select(text.escape_property(F.col("s")), text.relative(F.col("p"), "c:\\w"), text.duration(F.col("ms")), text.version_of(F.col("v"))).first()
-    assert tuple(got) == ("a%25%0D%0A%3A%2Cb", "x.ts", "1m 1s", "1.22.3")
+    assert tuple(got) == ("a%25%0D%0A%3A%2Cb", "x.ts", "1m 02s", "1.22.3")
     assert text.valid_zone("Asia/Tokyo") and not text.valid_zone("No/Where")
     assert globs.is_safe("a/b") and not globs.is_safe("a/../b")
     h = evidence.heading_anchors(spark.createDataFrame([(1, 0, "A b!"), (1, 1, "a B"), (1, 2, "c")], "doc int, pos int, heading string"))
