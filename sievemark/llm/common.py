@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,12 +10,15 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's token memo may hold before it is emptied; it only saves time, never changes a value.
 MEMO_ENTRIES = 400_000
+_C = ctypes.CDLL(None)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +82,46 @@ def normal(raw: str) -> str:
     return word if word.isalnum() else _EDGE.sub("", word)
 
 
+def normals(tokens: list[str]) -> list[str]:
+    """``normal`` of each of ``tokens``, which hold no white space."""
+    low = "\n".join(tokens).lower().split("\n")
+    if len(low) != len(tokens):
+        return [normal(t) for t in tokens]
+    return [w if good else s if (s := w.strip(_MARKS)).isalnum() else _EDGE.sub("", s) for w, good in zip(low, map(str.isalnum, low), strict=True)]
+
+
+def codes(tokens: list[str], code) -> tuple[np.ndarray, np.ndarray]:
+    """(``code``, a hash of bytes, of each token's normal form, which forms aren't empty). Tokens hold no white space."""
+    words = normals(tokens)
+    data = "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n") if words else []
+    return np.fromiter(map(code, data), np.uint64, len(words)), np.fromiter(map(bool, words), bool, len(words))
+
+
+def distinct_tokens(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+    """(each token once, which of them every token is)."""
+    try:
+        coded = pa.array(tokens, pa.large_string()).dictionary_encode()
+    except UnicodeEncodeError:  # half of a surrogate pair
+        at: dict[str, int] = {}
+        index = np.fromiter((at.setdefault(t, len(at)) for t in tokens), np.int64, len(tokens))
+        return list(at), index
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
 class Memo(dict):
-    """token -> value, computed once per distinct token; emptied when it grows beyond MEMO_ENTRIES."""
+    """token -> value, computed once per distinct token; emptied when it grows beyond MEMO_ENTRIES. batch: values of distinct tokens
+    without white space at once, which are quicker made again than remembered."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, batch=None):
         super().__init__()
-        self.compute = compute
+        self.compute, self.batch = compute, batch
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """Values of tokens as ``str.split`` gives them."""
+        if self.batch is None:
+            return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        new, at = distinct_tokens(tokens)
+        return self.batch(new)[at]
 
     def __missing__(self, raw):
         value = self.compute(raw)
@@ -96,18 +134,30 @@ class Memo(dict):
 _MEMOS: dict[object, Memo] = {}
 
 
-def memo_of(name, compute) -> Memo:
+def memo_of(name, compute, batch=None) -> Memo:
     """One table for all tasks of a worker process."""
     if name not in _MEMOS:
         _MEMOS.clear()  # a worker serves one operator at a time
-        _MEMOS[name] = Memo(compute)
+        _MEMOS[name] = Memo(compute, batch)
     return _MEMOS[name]
 
 
 def hashing(bits: int) -> Memo:
     """token -> ``hashed(token, bits)``."""
     mask = (1 << bits) - 1
-    return memo_of(bits, lambda t: crc(w) & mask if (w := normal(t)) else -1)
+
+    def batch(tokens: list[str]) -> np.ndarray:
+        got, some = codes(tokens, zlib.crc32)
+        return np.where(some, got.astype(np.int64) & mask, -1)
+
+    return memo_of(bits, lambda t: crc(w) & mask if (w := normal(t)) else -1, batch)
+
+
+def give_back() -> None:
+    """Returns the memory that a worker has freed to the system; else it stays the worker's, beside what other tasks take."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
 
 
 def crc(word: str, seed: int = 0) -> int:
@@ -128,7 +178,7 @@ def flatten(texts: Iterable[str | None], memo: Memo) -> tuple[np.ndarray, np.nda
         words = text.split() if text else ()
         sizes.append(len(words))
         tokens += words
-    return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens)), np.array(sizes, np.int64)
+    return memo.of(tokens), np.array(sizes, np.int64)
 
 
 def chunks(n: int, size: int):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, chunks, memo_of, normal, remove, table, written
+from sievemark.llm.common import Memo, chunks, codes, flatten, give_back, memo_of, normal, remove, table, written
 from sievemark.llm.near_dedup import _ODD, _mix
 
 WORD_BITS = 40
@@ -54,7 +54,7 @@ def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
     wide = np.zeros((planes.shape[1], 8), np.uint8)
     wide[:, : data[0]] = planes.T
-    return wide.view("<u8").ravel().astype(np.int64)
+    return wide.view("<i8").ravel()
 
 
 def pack_rising(x: np.ndarray) -> bytes:
@@ -62,7 +62,8 @@ def pack_rising(x: np.ndarray) -> bytes:
 
 
 def unpack_rising(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data))
+    x = unpack(data)
+    return np.cumsum(x, out=x)
 
 
 def word_code(raw: str) -> int:
@@ -107,18 +108,21 @@ def by_range(words: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
     yield from groups(words // ((1 << WORD_BITS) // ranges + 1))
 
 
+def word_codes(tokens: list[str]) -> np.ndarray:
+    """``word_code`` of each."""
+    got, some = codes(tokens, xxhash.xxh3_64_intdigest)
+    return np.where(some, (got % np.uint64((1 << WORD_BITS) - 2)).astype(np.int64) + 2, -1)
+
+
 def bigrams(texts, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first code, second code, its text's number) of each pair of neighbours; a text without words has none."""
-    us, ws, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for k, text in enumerate(texts):
-        words = text.split() if text else ()
-        ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        ids = ids[ids >= 0]
-        if len(ids):
-            us.append(np.concatenate([[START], ids]))
-            ws.append(np.concatenate([ids, [END]]))
-            rows.append(np.full(len(ids) + 1, k, np.int32))
-    return np.concatenate(us), np.concatenate(ws), np.concatenate(rows)
+    ids, sizes = flatten(texts, memo)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ids >= 0]
+    ids = ids[ids >= 0]
+    n = np.bincount(rows, minlength=len(sizes))
+    have = np.flatnonzero(n)
+    ends = np.cumsum(n[have])
+    return np.insert(ids, ends - n[have], START), np.insert(ids, ends, END), np.repeat(have.astype(np.int32), n[have] + 1)
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -269,7 +273,7 @@ def _count(parts: int):
         return pd.DataFrame([(k, pack_rising(a), pack(b), pack(c)) for k, a, b, c in rows], columns=["p", "u", "w", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, us, ws, held = memo_of("words", word_code), [], [], 0
+        memo, us, ws, held = memo_of("words", word_code, word_codes), [], [], 0
         for b in batches:
             for lo, hi in chunks(len(b), 512):
                 u, w, _ = bigrams(b["text"].iloc[lo:hi], memo)
@@ -281,22 +285,31 @@ def _count(parts: int):
                     us, ws, held = [], [], 0
         if held:
             yield flush(us, ws)
+        us, ws = [], []
+        give_back()
 
     return run
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    u = np.concatenate([unpack_rising(x) for x in pdf["u"]])
-    w = np.concatenate([unpack(x) for x in pdf["w"]])
-    n = np.concatenate([unpack(x) for x in pdf["n"]])
-    words = distinct(np.concatenate([u, w]))
-    key = np.searchsorted(words, u) << 32 | np.searchsorted(words, w)
+    p = pdf["p"].iloc[0]
+    u, w, n = (np.concatenate([f(x) for x in pdf[c]]) for c, f in (("u", unpack_rising), ("w", unpack), ("n", unpack)))
+    words = distinct(np.concatenate([distinct(u), distinct(w)]))
+    key = np.searchsorted(words, u)
+    del u
+    key <<= 32
+    key |= np.searchsorted(words, w)
+    del w
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    del order
+    cut = edges(key)[:-1]
     key, n = key[cut], np.add.reduceat(n, cut)
+    del cut
     blobs = [pack_rising(words), pack_rising(key >> 32), pack(key & 0xFFFFFFFF), pack(n)]
-    return _frame([(pdf["p"].iloc[0], 0, "", blobs, 0, 0)])
+    del words, key, n
+    give_back()
+    return _frame([(p, 0, "", blobs, 0, 0)])
 
 
 def _known(ranges: int):
@@ -439,18 +452,26 @@ class Part:
     """A part's sections for look-up: rising keys, with customers, mean tables, the context's customers and what the parent adds."""
 
     def __init__(self, own: list, sums: list, replies: list[list], totals: list[tuple[int, int]], size: int):
-        _, u, w, n = _tables_of(own)
-        words = unpack_rising(own[0])
-        t = np.ones(len(n))
-        t[n > 1] = unpack(sums[0]) / len(totals)
+        words, u, w, n = _tables_of(own)
+        keys = short(pair_keys(words[u], words[w]))
+        del words
         customers, *drawn = (np.concatenate(x) for x in zip(*([unpack(b) for b in r] for r in replies), strict=True))
         back = np.zeros(len(n))
         for s, total in enumerate(totals):
             tables, dishes, up = drawn[3 * s : 3 * s + 3]
-            back += (STRENGTH + DISCOUNT * tables[u]) * unigram(dishes, up, total, size)[w]
-        keys = short(pair_keys(words[u], words[w]))
+            add = (STRENGTH + DISCOUNT * tables)[u]
+            add *= unigram(dishes, up, total, size)[w]
+            back += add
+        del drawn, w, add
+        back /= len(totals)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.n, self.t, self.context, self.back = keys[order], n[order], t[order], customers[u][order], back[order] / len(totals)
+        self.keys, self.n, self.context, self.back = keys[order], n[order], customers[u[order]], back[order]
+        del keys, customers, u, back
+        t = np.ones(len(n))
+        t[n > 1] = unpack(sums[0]) / len(totals)
+        self.t = t[order]
+        del n, t, order
+        give_back()
 
     def predict(self, keys: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(the samples' mean predictive probability of each key, which keys are known). own: customers of each key's section
@@ -466,7 +487,7 @@ class Part:
 
 def _tokens(parts: int, seen: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, task, k = memo_of("words", word_code), TaskContext.get().partitionId(), 0
+        memo, task, k = memo_of("words", word_code, word_codes), TaskContext.get().partitionId(), 0
         for b in batches:
             for lo, hi in chunks(len(b), TEXTS):
                 texts, name = b.iloc[lo:hi], f"{task:07d}-{k:07d}"
@@ -483,7 +504,9 @@ def _tokens(parts: int, seen: bool):
                     r = order[at]
                     pairs = [pack_rising(short(keys[r]))] if seen else [pack_rising(u[r]), pack(w[r])]
                     out.append((q, 3, name, [rows[r].astype("<u2").tobytes(), *pairs], 0, 0))
+                del u, w, rows, keys, order, p
                 yield _frame(out)
+        give_back()
 
     return run
 
