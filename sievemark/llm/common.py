@@ -160,6 +160,21 @@ def give_back() -> None:
         _C.malloc_trim(0)
 
 
+def in_arrow(run, most: int, schema: pa.Schema):
+    """``run`` over frames, for mapInArrow: of a batch ``most`` rows at a time are made Python's values, not all of them."""
+
+    def frames(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            for lo, hi in chunks(b.num_rows, most):
+                yield b.slice(lo, hi - lo).to_pandas()
+
+    def go(batches: Iterable[pa.RecordBatch]):
+        for frame in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
+    return go
+
+
 def crc(word: str, seed: int = 0) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"), seed)
 

@@ -19,12 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import Memo, chunks, codes, flatten, give_back, memo_of, normal, remove, table, written
+from sievemark.llm.common import Memo, chunks, codes, flatten, give_back, in_arrow, memo_of, normal, remove, table, written
 from sievemark.llm.near_dedup import _ODD, _mix
 
 WORD_BITS = 40
@@ -39,8 +40,14 @@ PART_BYTES, LEAST_PARTS = 16 << 20, 8
 HELD = 1_000_000
 #: Texts whose pairs a task holds at once in scoring.
 TEXTS = 2048
+#: Characters of texts that are words at once, texts of a batch and rows of a part that are Python's at once, and numbers hashed at once.
+LETTERS, COUNTED, LOOKED, HASHED = 1 << 20, 512, 64, 1 << 16
 _ROW = "p long, kind int, name string, blobs array<binary>, a long, b long"
 _COLUMNS = ["p", "kind", "name", "blobs", "a", "b"]
+_ROW_ARROW = pa.schema(list(zip(_COLUMNS, [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.int64(), pa.int64()], strict=True)))
+_COUNTED, _COUNTED_ARROW = "p long, u binary, w binary, n binary", pa.schema([("p", pa.int64()), *((c, pa.binary()) for c in "uwn")])
+_LOOKED = "name string, kind int, x binary, y binary, z binary"
+_LOOKED_ARROW = pa.schema([("name", pa.string()), ("kind", pa.int32()), *((c, pa.binary()) for c in "xyz")])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -73,11 +80,22 @@ def word_code(raw: str) -> int:
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mix(u.astype(np.uint64) * _ODD[0] + w.astype(np.uint64) * _ODD[1])
+    out = np.empty(len(u), np.uint64)
+    for lo, hi in chunks(len(u), HASHED):
+        out[lo:hi] = _mix(u[lo:hi].astype(np.uint64) * _ODD[0] + w[lo:hi].astype(np.uint64) * _ODD[1])
+    return out
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (_mix(keys ^ _ODD[2]) % np.uint64(parts)).astype(np.int64)
+    out = np.empty(len(keys), np.min_scalar_type(parts - 1))
+    for lo, hi in chunks(len(keys), HASHED):
+        out[lo:hi] = _mix(keys[lo:hi] ^ _ODD[2]) % np.uint64(parts)
+    return out
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 0 and more in as few bytes as the greatest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def short(keys: np.ndarray) -> np.ndarray:
@@ -114,11 +132,27 @@ def word_codes(tokens: list[str]) -> np.ndarray:
     return np.where(some, (got % np.uint64((1 << WORD_BITS) - 2)).astype(np.int64) + 2, -1)
 
 
+def pieces(texts) -> Iterator[list[str | None]]:
+    """``texts`` in order, about LETTERS characters at a time; a text isn't cut."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= LETTERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def bigrams(texts, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first code, second code, its text's number) of each pair of neighbours; a text without words has none."""
-    ids, sizes = flatten(texts, memo)
-    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[ids >= 0]
-    ids = ids[ids >= 0]
+    found = [flatten(piece, memo) for piece in pieces(texts)] or [flatten((), memo)]
+    ids, sizes = map(np.concatenate, zip(*found, strict=True))
+    del found
+    some = ids >= 0
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[some]
+    ids = ids[some]
     n = np.bincount(rows, minlength=len(sizes))
     have = np.flatnonzero(n)
     ends = np.cumsum(n[have])
@@ -244,9 +278,20 @@ class Model:
         self.parts, self.sections, self.lexicon, self.totals, self.size = parts, sections, lexicon, totals, size
 
 
+def tasks_for(rows: DataFrame, parts: int) -> int:
+    """As many as there are parts or shuffle partitions: byte sizes, by which partitions would be coalesced, say little of the work."""
+    return min(parts, max(LEAST_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def spread(rows: DataFrame, parts: int) -> DataFrame:
-    """By p, in as many tasks as there are parts or shuffle partitions: byte sizes, by which partitions would be coalesced, say little of the work."""
-    return rows.repartition(min(parts, max(LEAST_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "p")
+    """By p, as groups of p take it."""
+    return rows.repartition(tasks_for(rows, parts), "p")
+
+
+def evenly(rows: DataFrame, parts: int) -> DataFrame:
+    """By p, the same number of parts in each task, since a task's rows of many parts may travel as one batch."""
+    tasks = tasks_for(rows, parts)
+    return rows.repartitionById(tasks, (F.col("p") % tasks).cast("int"))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -259,33 +304,44 @@ def _tables_of(row) -> tuple[np.ndarray, ...]:
 
 
 def _count(parts: int):
-    def flush(us: list, ws: list) -> pd.DataFrame:
-        u, w = np.concatenate(us), np.concatenate(ws)
+    def flush(starts: list, ws: list) -> pd.DataFrame:
+        w, start = np.concatenate(ws), np.concatenate(starts)
+        ws.clear()
         words = distinct(np.append(w, START))  # what comes first in a pair is START or the second of the pair before
         second = np.searchsorted(words, w)
-        pairs = np.sort(np.where(u == START, 0, np.roll(second, 1)) << 32 | second)
+        del w
+        pairs = np.roll(second, 1)
+        pairs[start] = 0
+        pairs <<= 32
+        pairs |= second
+        del second
+        pairs.sort()
         cut = edges(pairs)
-        pairs, n = pairs[cut[:-1]], np.diff(cut)
-        u, w = words[pairs >> 32], words[pairs & 0xFFFFFFFF]
-        p = part_of(pair_keys(u, w), parts)
+        pairs, n = pairs[cut[:-1]], narrow(np.diff(cut))
+        del cut
+        p = part_of(pair_keys(words[pairs >> 32], words[pairs & 0xFFFFFFFF]), parts)
         order = np.argsort(p, kind="stable")
-        rows = [(k, u[r], w[r], n[r]) for k, at in groups(p[order]) for r in (order[at],)]
-        return pd.DataFrame([(k, pack_rising(a), pack(b), pack(c)) for k, a, b, c in rows], columns=["p", "u", "w", "n"])
+        rows = []
+        for k, at in groups(p[order]):
+            r = order[at]
+            rows.append((k, pack_rising(words[pairs[r] >> 32]), pack(words[pairs[r] & 0xFFFFFFFF]), pack(n[r])))
+        return pd.DataFrame(rows, columns=["p", "u", "w", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, us, ws, held = memo_of("words", word_code, word_codes), [], [], 0
+        memo, starts, ws, held = memo_of("words", word_code, word_codes), [], [], 0
         for b in batches:
-            for lo, hi in chunks(len(b), 512):
+            for lo, hi in chunks(len(b), COUNTED):
                 u, w, _ = bigrams(b["text"].iloc[lo:hi], memo)
-                us.append(u)
+                starts.append(u == START)
                 ws.append(w)
                 held += len(u)
+                del u, w
                 if held >= HELD:
-                    yield flush(us, ws)
-                    us, ws, held = [], [], 0
+                    yield flush(starts, ws)
+                    starts, ws, held = [], [], 0
         if held:
-            yield flush(us, ws)
-        us, ws = [], []
+            yield flush(starts, ws)
+        starts, ws = [], []
         give_back()
 
     return run
@@ -376,6 +432,8 @@ def _update(sweep: int, others: int, size: int, keep: bool, seed: int):
         sample = [pack(x) for x in (ones, dishes, up)]
         rows = [(q, 0, "", [*head[:4], sample[2], *head[5:], *(sample if keep else [])], int(dishes.sum()), int(up.sum()))]
         rows += [(int(name), 2, f"{q:09d}", [pack(x[at]) for x in (ones, dishes, up)], 0, 0) for name, at, *_ in reports]
+        del words, ones, dishes, up, reports
+        give_back()
         return _frame(rows)
 
     return run
@@ -394,7 +452,11 @@ def _seat(sweep: int, totals: tuple[int, int], size: int, keep: bool, seed: int)
             tables, customers, up = _joined(pdf[pdf["kind"] == 2])
             base = unigram(customers, up, totals, size)
             t = draw_tables(n, tables[u] - t, base[w], np.random.default_rng([seed, sweep, p]))
-        return _frame([(p, 0, "", [*row[:4], pack(t), pack(total + t if keep else total)], 0, 0)])
+            del tables, customers, up, base
+        blobs = [*row[:4], pack(t), pack(total + t if keep else total)]
+        del u, w, n, t, total
+        give_back()
+        return _frame([(p, 0, "", blobs, 0, 0)])
 
     return run
 
@@ -420,15 +482,15 @@ def train(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int =
     """From column text of all of ``docs``. Null, empty and wordless texts count for nothing; an empty table's model is the base alone."""
     texts = docs.select(F.col("text").cast("string").alias("text")).dropna()
     parts = max(LEAST_PARTS, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    counted = texts.mapInPandas(_count(parts), "p long, u binary, w binary, n binary")
+    counted = texts.mapInArrow(in_arrow(_count(parts), COUNTED, _COUNTED_ARROW), _COUNTED)
     found, _ = written(spread(counted, parts).groupBy("p").applyInPandas(_merge, _ROW), "lm-sections")
-    lexicon, words_at = written(spread(found.mapInPandas(_known(parts), _ROW), parts).groupBy("p").applyInPandas(_lexicon, _ROW), "lm-words")
+    lexicon, words_at = written(spread(found.mapInArrow(in_arrow(_known(parts), 1, _ROW_ARROW), _ROW), parts).groupBy("p").applyInPandas(_lexicon, _ROW), "lm-words")
     size = lexicon.agg(F.sum("a")).first()[0] or 0
-    state, state_at = written(found.mapInPandas(_first_seating, _ROW), "lm-seating")
+    state, state_at = written(found.mapInArrow(in_arrow(_first_seating, 1, _ROW_ARROW), _ROW), "lm-seating")
     others, totals = size, []
     spark = docs.sparkSession
     for sweep in range(burn + samples + 1):
-        told = spread(lexicon.unionByName(state.mapInPandas(_report(parts), _ROW)), parts).groupBy("p").applyInPandas(_update(sweep, others, size, sweep > burn, seed), _ROW)
+        told = spread(lexicon.unionByName(state.mapInArrow(in_arrow(_report(parts), 1, _ROW_ARROW), _ROW)), parts).groupBy("p").applyInPandas(_update(sweep, others, size, sweep > burn, seed), _ROW)
         swept, new_at = written(told, "lm-words")
         remove(spark, words_at)  # no plan reads it any more
         words_at, lexicon = new_at, swept.filter("kind = 0")
@@ -444,7 +506,7 @@ def train(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, seed: int =
         remove(spark, state_at)
         state_at = new_at
     sums = state.select("p", F.lit(1).alias("kind"), "name", F.array(F.col("blobs")[5]).alias("blobs"), "a", "b")
-    told = spread(lexicon.unionByName(found.mapInPandas(_ask(parts), _ROW)), parts).groupBy("p").applyInPandas(_answer, _ROW)
+    told = spread(lexicon.unionByName(found.mapInArrow(in_arrow(_ask(parts), 1, _ROW_ARROW), _ROW)), parts).groupBy("p").applyInPandas(_answer, _ROW)
     return Model(parts, found.unionByName(sums).unionByName(told), lexicon, totals, size)
 
 
@@ -453,24 +515,26 @@ class Part:
 
     def __init__(self, own: list, sums: list, replies: list[list], totals: list[tuple[int, int]], size: int):
         words, u, w, n = _tables_of(own)
-        keys = short(pair_keys(words[u], words[w]))
-        del words
+        many = n > 1
+        n = narrow(n)
         customers, *drawn = (np.concatenate(x) for x in zip(*([unpack(b) for b in r] for r in replies), strict=True))
-        back = np.zeros(len(n))
-        for s, total in enumerate(totals):
-            tables, dishes, up = drawn[3 * s : 3 * s + 3]
-            add = (STRENGTH + DISCOUNT * tables)[u]
-            add *= unigram(dishes, up, total, size)[w]
-            back += add
-        del drawn, w, add
+        parent = [(STRENGTH + DISCOUNT * tables, unigram(dishes, up, total, size)) for tables, dishes, up, total in zip(drawn[::3], drawn[1::3], drawn[2::3], totals, strict=True)]
+        del drawn
+        keys, back, context = np.empty(len(n), np.int64), np.zeros(len(n)), np.empty(len(n), narrow(customers).dtype)
+        for lo, hi in chunks(len(n), HASHED):
+            keys[lo:hi] = short(pair_keys(words[u[lo:hi]], words[w[lo:hi]]))
+            context[lo:hi] = customers[u[lo:hi]]
+            for of_u, of_w in parent:
+                back[lo:hi] += of_u[u[lo:hi]] * of_w[w[lo:hi]]
+        del words, u, w, customers, parent
         back /= len(totals)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.n, self.context, self.back = keys[order], n[order], customers[u[order]], back[order]
-        del keys, customers, u, back
-        t = np.ones(len(n))
-        t[n > 1] = unpack(sums[0]) / len(totals)
+        self.keys, self.n, self.context, self.back = keys[order], n[order], context[order], back[order]
+        del keys, n, context, back
+        t = np.ones(len(many))
+        t[many] = unpack(sums[0]) / len(totals)
         self.t = t[order]
-        del n, t, order
+        del t, many, order
         give_back()
 
     def predict(self, keys: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -493,19 +557,22 @@ def _tokens(parts: int, seen: bool):
                 texts, name = b.iloc[lo:hi], f"{task:07d}-{k:07d}"
                 k += 1
                 u, w, rows = bigrams(texts["text"], memo)
+                n, rows = np.bincount(rows, minlength=len(texts)), rows.astype("<u2")
                 keys = pair_keys(u, w)
-                order = np.argsort(short(keys) if seen else u, kind="stable")
-                p = part_of(keys[order], parts)
-                order = order[np.argsort(p, kind="stable")]
-                p = part_of(keys[order], parts)
+                p = part_of(keys, parts)
+                if seen:
+                    keys, u, w = short(keys), None, None
+                order = np.argsort(keys if seen else u, kind="stable")
+                order = order[np.argsort(p[order], kind="stable")]
                 ids = np.array([int(i) if i is not None else 0 for i in texts["doc_id"]], np.int64)
-                out = [(k % parts, 4, name, [ids.tobytes(), texts["doc_id"].notna().to_numpy().tobytes(), pack(np.bincount(rows, minlength=len(texts)))], 0, 0)]
-                for q, at in groups(p):
+                out = [(k % parts, 4, name, [ids.tobytes(), texts["doc_id"].notna().to_numpy().tobytes(), pack(n)], 0, 0)]
+                for q, at in groups(p[order]):
                     r = order[at]
-                    pairs = [pack_rising(short(keys[r]))] if seen else [pack_rising(u[r]), pack(w[r])]
-                    out.append((q, 3, name, [rows[r].astype("<u2").tobytes(), *pairs], 0, 0))
-                del u, w, rows, keys, order, p
+                    pairs = [pack_rising(keys[r])] if seen else [pack_rising(u[r]), pack(w[r])]
+                    out.append((q, 3, name, [rows[r].tobytes(), *pairs], 0, 0))
+                del u, w, rows, keys, order, p, texts
                 yield _frame(out)
+                del out
         give_back()
 
     return run
@@ -542,7 +609,7 @@ def _look_up(totals: list[tuple[int, int]], size: int, seen: bool):
                     out.append((name, 0, *blobs))
                 else:
                     if part is None and own is not None:
-                        part, own, sums, replies = Part(own, sums, replies, totals, size), own, None, []
+                        part, own, sums, replies = Part(own, sums, replies, totals, size), None, None, []
                     rows = np.frombuffer(blobs[0], "<u2").astype(np.int64)
                     codes = None if seen else (unpack_rising(blobs[1]), unpack(blobs[2]))
                     keys = unpack_rising(blobs[1]) if seen else short(pair_keys(*codes))
@@ -611,9 +678,9 @@ def score(docs: DataFrame, model: Model, seen: bool = False) -> DataFrame:
     scored whole. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = rows.mapInPandas(_tokens(model.parts, seen), _ROW)
-    met = spread(model.sections.unionByName(tokens), model.parts).sortWithinPartitions("p", "kind", "name")
-    looked = met.mapInPandas(_look_up(model.totals, model.size, seen), "name string, kind int, x binary, y binary, z binary")
+    tokens = rows.mapInArrow(in_arrow(_tokens(model.parts, seen), TEXTS, _ROW_ARROW), _ROW)
+    met = evenly(model.sections.unionByName(tokens), model.parts).sortWithinPartitions("p", "kind", "name")
+    looked = met.mapInArrow(in_arrow(_look_up(model.totals, model.size, seen), LOOKED, _LOOKED_ARROW), _LOOKED)
     if seen:
         found = looked.withColumn("row", F.lit(None).cast("long")).withColumn("log", F.lit(None).cast("double"))
     else:

@@ -1,7 +1,11 @@
 """Words' values, and what a worker keeps of them."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sievemark.llm import common, language_model
 
@@ -34,3 +38,39 @@ def test_counting_keeps_no_words_in_the_worker():
     assert sum(map(len, common._MEMOS.values())) == 0
     merged = language_model._merge(rows)
     assert int(np.sum(language_model.unpack(merged["blobs"].iloc[0][3]))) == 300 * 101
+
+
+def _peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_of_texts_is_never_words_as_a_whole():
+    """Half a million words as Python's strings took several times what their codes take."""
+    texts = pd.Series([" ".join(f"w{(k * 7 + i) % 5000}" for i in range(400)) for k in range(1280)])
+    memo = common.memo_of("words", language_model.word_code, language_model.word_codes)
+    assert _peak(lambda: language_model.bigrams(texts, memo)) < 50 * 1280 * 400
+
+
+def test_of_a_batch_only_the_rows_at_hand_are_python_s():
+    sizes = []
+
+    def run(frames):
+        for f in frames:
+            sizes.append(len(f))
+            yield f
+
+    batch = pa.RecordBatch.from_pydict({"p": list(range(100)), "blobs": [[bytes([k])] * (k % 3) for k in range(99)] + [None]}, pa.schema([("p", pa.int64()), ("blobs", pa.list_(pa.binary()))]))
+    got = pa.Table.from_batches(common.in_arrow(run, 16, batch.schema)(iter([batch, batch.slice(0, 0), batch])))
+    assert got.to_pylist() == batch.to_pylist() * 2 and max(sizes) == 16
+
+
+def test_looking_up_gives_each_task_as_many_parts(spark):
+    rows = spark.range(21).select(F.explode(F.array(*[F.lit(k) for k in range(3)])), F.col("id").alias("p"))
+    tasks = language_model.tasks_for(rows, 21)
+    found = language_model.evenly(rows, 21).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("p").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(found) == tasks and max(r["n"] for r in found) == -(-21 // tasks) and sum(r["rows"] for r in found) == 63
