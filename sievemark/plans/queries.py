@@ -739,11 +739,13 @@ _MARKDOWN = """md AS (SELECT doc_id, doc_id % 3 AS kind, generate_subscripts(ls,
 
 @query("heading_anchors", f""", {_MARKDOWN} SELECT doc, heading, base || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc, base ORDER BY i) - 1 AS nth FROM x)""", True)
 def heading_anchors(spark, d):
-    """Whole documents: each odd line is a heading, in every other kind of document behind a fence that no line closes, or in front matter without an end."""
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when(i % 2 == 0, F.concat(F.repeat(F.lit("#"), (i % 6 + 1).cast("int")), F.lit(" "), F.trim(s), F.lit(" ##"))).otherwise(s))
+    """Whole documents: each odd line that isn't blank is a heading, behind front matter, or in two kinds of documents from the third line on
+    behind a fence that no line closes. The other lines are indented, so that none of them is a heading, a fence or front matter."""
+    mark = lambda i: F.concat(F.repeat(F.lit("#"), (i % 6 + 1).cast("int")), F.lit(" "))
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.when((i % 2 == 0) & (F.trim(s) != ""), F.concat(mark(i), F.trim(s), F.lit(" ##"))).otherwise(F.concat(F.lit("    "), s)))
     kind = F.col("doc_id") % 3
     cut = lambda mark: F.concat(F.slice(lines, 1, 2), F.array(F.lit(mark)), F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))))
-    body = F.when(kind == 0, F.concat(F.array(F.lit("---"), F.lit("# hidden"), F.lit("...")), lines)).when(kind == 1, cut("```text")).otherwise(cut("~~~~"))
+    body = F.when(kind <= 0, F.concat(F.array(F.lit("---"), F.lit("# hidden"), F.lit("...")), lines)).when(kind == 1, cut("```text")).otherwise(cut("~~~~"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(body, "\n").alias("content"))
     return evidence.heading_anchors(evidence.headings(docs)).select("doc", "heading", "anchor")
 

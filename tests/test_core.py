@@ -281,6 +281,19 @@ def test_text_functions(spark):
         evidence.page(r, ["s"], 0, 101)
 
 
+def test_heading_anchors_of_odd_documents_equal_the_sql(spark, tmp_path):
+    texts = ["Head\n\nMore\nx\n \ny\nZ", "a\n# raw\nb\n```\nc\n~~~~\nd", "a b\r\nq\r\nc", "x\u0085y\u00a0 \u03a3\u0391\u03a3\nq\nz\u2028 \u0130", "#\n##\n# #\nq\n###", "---\na\n...\nb\nc", "", None]
+    rows = [(sign * (3 * n + kind), t) for n, t in enumerate(texts, 1) for kind in range(3) for sign in (1, -1)]
+    spark.createDataFrame([*rows, (None, "a\nb\nc")], "doc_id long, text string").selectExpr("*", "'en' lang", "'src1' source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    mine = Q.QUERIES["heading_anchors"](spark, str(tmp_path)).select("doc", "heading", "anchor").collect()
+    theirs = con.sql(f"select doc, heading, anchor from ({Q.SQL['heading_anchors']})").fetchall()
+    assert sorted(map(tuple, mine), key=str) == sorted(theirs, key=str) and len(theirs) > 50
+
+
 def _cell(v):
     if isinstance(v, (list, tuple)):
         return tuple(map(_cell, v))
