@@ -24,12 +24,17 @@ def file_records(files: DataFrame, areas: list[Area], floor: int = 300, allowanc
     return rows.select(record_id(check, kind, {"metric": metric}, subject(F.col("path"))).alias("record_id"), check.alias("check_id"), kind.alias("record_type_id"), "level", F.col("path").alias("semantic_subject"), message.alias("message"), F.col("area").alias("code_area"), "code_limit", metric.alias("metric"), F.col("code_lines").alias("value"), "path", F.lit(1).cast("long").alias("line"))
 
 
+def related_files(current: DataFrame, baseline: DataFrame, changed: DataFrame, delta: int) -> DataFrame:
+    """Adds baseline and relation to (path, value, ...). Files missing in the baseline count 0; unchanged files have a null relation."""
+    b = baseline.select("path", F.coalesce("value", F.lit(0)).cast("long").alias("baseline"))
+    rows = current.join(b, "path", "left").join(changed.select(F.col("p").alias("path")).distinct().withColumn("__changed", F.lit(True)), "path", "left")
+    rows = rows.withColumn("baseline", F.coalesce("baseline", F.lit(0).cast("long")))
+    return rows.withColumn("relation", regression(F.col("__changed"), F.col("value"), F.col("baseline"), delta)).drop("__changed")
+
+
 def file_relations(current: DataFrame, baseline: DataFrame, changed: DataFrame, delta: int) -> DataFrame:
-    """(path, value, baseline, relation). Files missing in the baseline count 0; unchanged files have no relation."""
-    b = baseline.select("path", F.col("value").alias("was"))
-    rows = current.join(b, "path", "left").join(changed.select(F.col("p").alias("path")).distinct().withColumn("is_changed", F.lit(True)), "path", "left")
-    out = rows.select("path", "value", F.coalesce("was", F.lit(0)).cast("long").alias("baseline"), F.col("is_changed").isNotNull().alias("is_changed"))
-    return out.withColumn("relation", regression(F.col("is_changed"), F.col("value"), F.col("baseline"), delta)).filter("relation is not null").drop("is_changed")
+    """(path, value, baseline, relation) of the changed files."""
+    return related_files(current, baseline, changed, delta).select("path", "value", "baseline", "relation").filter("relation is not null")
 
 
 def function_instances(functions: DataFrame) -> DataFrame:
@@ -99,6 +104,18 @@ def function_relations(current: DataFrame, baseline: DataFrame, changed: DataFra
     return rows.filter(F.col(metric).isNotNull()).select("file", "name", key, F.col(metric).alias("value"), relation.alias("relation"))
 
 
+def related_functions(records: DataFrame, baseline: DataFrame, changed: DataFrame, delta: int) -> DataFrame:
+    """J4, C4 for the records of all metrics at once: adds relation, as ``function_relations`` gives it, null outside of the changed scope."""
+    was = baseline.groupBy("file", "name").agg(F.count("*").alias("__n"), F.first(F.struct(*FUNCTION_METRICS)).alias("__was"))
+    scope = changed.select(F.col("p").alias("file")).distinct().withColumn("__changed", F.lit(True))
+    rows = records.join(scope, "file", "left").join(was, ["file", "name"], "left")
+    own = F.coalesce(*[F.when(F.col("record_type_id") == t, F.col("__was")[m].cast("long")) for m, (t, _) in FUNCTION_METRICS.items()])
+    base = F.when(F.col("__n").isNull(), 0).otherwise(own)
+    vague = ~stable_name(F.col("name")) | (F.col("group_size") != 1) | (F.coalesce("__n", F.lit(0)) > 1)
+    relation = F.when(vague | base.isNull(), "changed").otherwise(regression(F.lit(True), F.col("value"), base, delta))
+    return rows.withColumn("relation", F.when(F.col("__changed"), relation)).drop("__n", "__was", "__changed")
+
+
 def duplicate_subjects(fragments: DataFrame) -> DataFrame:
     """Adds fingerprint, occurrence and the semantic subject to fragments (ordinal, line_count, token_count, locations)."""
     paths = F.array_sort(F.array_distinct(F.col("locations.path")))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sievemark.functions import globs
 from sievemark.functions.canonical import ordered_digest
 
-#: A changed list of at most so many rows is broadcast; beyond, paths meet by an equi-join on their substrings.
-FEW = 10_000
+#: A changed list of at most so many rows is broadcast and compared with every path; beyond, paths meet by an equi-join on their substrings.
+FEW = 32
 #: Paths that an area's payload lists, the feature's own limit.
 LISTED = 200
 
@@ -48,20 +48,31 @@ def policy_of(area: Column, areas: list[Area]) -> Column:
     return out
 
 
-def _pieces(path: Column) -> Column:
-    """All distinct substrings of a path."""
-    starts = F.sequence(F.lit(1), F.length(path))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.length(path) - s + 1), lambda n: path.substr(s, n)))))
+def _holding(rows: DataFrame, column: str, parts: DataFrame, part: str) -> DataFrame:
+    """(column, part): the distinct texts of ``column`` with every substring that may be one of ``parts``.
+
+    A substring may if its first character and its length occur together in ``parts``, so most places of a text give none, and
+    rows grow with the texts, not with the pairs.
+    """
+    first = lambda t: F.substring(t, 1, 1)
+    lengths = parts.groupBy(first(part).alias("k")).agg(F.collect_set(F.length(part)).alias("n"))
+    known = lengths.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("__known"))  # one row: a list of lengths for each first character
+    text = F.col(column)
+    starts = F.sequence(F.lit(1), F.length(text))
+    at = lambda s: F.filter(F.try_element_at("__known", text.substr(s, F.lit(1))), lambda n: n <= F.length(text) - s + 1)
+    pieces = F.transform(starts, lambda s: F.coalesce(F.transform(at(s), lambda n: text.substr(s, n)), F.array().cast("array<string>")))
+    return rows.crossJoin(F.broadcast(known)).select(column, F.explode(F.array_distinct(F.flatten(pieces))).alias(part))
 
 
 def touched(rows: DataFrame, changed: DataFrame, path: str = "path", few: int = FEW) -> DataFrame:
     """The distinct paths of ``rows`` that contain a changed path or are contained in one. Nulls and empty changed paths don't count."""
-    paths = rows.select(F.col(path).alias("p")).filter("p <> ''").distinct()
-    c = changed.toDF("c").filter("c <> ''").distinct()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as paths are few bytes and much work
+    paths = rows.select(F.col(path).alias("p")).filter("p <> ''").repartition(n, "p").distinct()
+    c = changed.toDF("c").filter("c <> ''").repartition(n, "c").distinct()
     if len(c.limit(few + 1).collect()) <= few:  # only the list's size decides; it is read no further than few + 1 rows
         return paths.join(F.broadcast(c), F.col("p").contains(F.col("c")) | F.col("c").contains(F.col("p")), "left_semi")
-    holds = paths.select("p", F.explode(_pieces(F.col("p"))).alias("c")).join(c, "c", "left_semi").select("p")
-    held = c.select(F.explode(_pieces(F.col("c"))).alias("p")).join(paths, "p", "left_semi").select("p")
+    holds = _holding(paths, "p", c, "c").join(c, "c", "left_semi").select("p")
+    held = _holding(c, "c", paths, "p").select("p").join(paths, "p", "left_semi").select("p")
     return holds.union(held).distinct()
 
 

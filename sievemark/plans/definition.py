@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from sievemark.functions.canonical import REFERENCE, catalog_fingerprint, digest_of, record_id, subject
 from sievemark.operators import policy as policies
 from sievemark.operators import references
+from sievemark.operators.durable import durable
 from sievemark.plans.scheduler import Scheduler, Task
 
 _STABLE = re.compile(r"^[a-z][a-z0-9]*(-[a-z0-9]+)*$")
@@ -348,7 +349,8 @@ _PLACE = {"path": "string", "line": "bigint", "column": "bigint"}
 
 
 def _conform(check: Check, rows: DataFrame) -> tuple[DataFrame, dict]:
-    """Records of a check with their ids, each id once, and with ``__relation``; and the check's counts. One pass decides all.
+    """Records of a check with their ids, each id once, and with ``__relation``; and the check's counts. One pass decides all: the
+    records are written, so that the policy, the views and the caller read them instead of running the check again.
 
     A record that breaks its record type raises. Of one id, equal bodies are a replay and kept once; different ones are a conflict,
     which keeps none of them.
@@ -374,7 +376,7 @@ def _conform(check: Check, rows: DataFrame) -> tuple[DataFrame, dict]:
     known = [t.record_type_id for t in check.record_types]
     strange = rows.filter(~F.coalesce(F.col("record_type_id").isin(*known), F.lit(False))).select(F.lit("").alias("record_id"), F.lit(False).alias("ok"))
     stored = reduce(DataFrame.unionByName, parts).unionByName(strange, allowMissingColumns=True)
-    stored = stored.groupBy("record_id").agg(F.min("body").alias("body"), (F.min("body") != F.max("body")).alias("clash"), F.bool_and("ok").alias("ok"))
+    stored = durable(stored.groupBy("record_id").agg(F.min("body").alias("body"), (F.min("body") != F.max("body")).alias("clash"), F.bool_and("ok").alias("ok")))
     counts = stored.agg(F.count_if(~F.col("ok")).alias("bad"), F.count_if(F.coalesce("clash", F.lit(False))).alias("clashes"), F.count("*").alias("n")).first()
     if counts["bad"]:
         raise DefinitionError(check.check_id, "a record breaks its record type")
@@ -523,7 +525,7 @@ def file_metrics(floor: int = 300, allowance: int = 500, few_tokens: int = 10, d
     """Built in: long files. The context's tables have ``files`` with path, area, code_lines, decision_tokens; options the areas.
     A reference's ``files`` has path and code_lines."""
     from sievemark.operators import scope
-    from sievemark.operators.checks import file_records, file_relations
+    from sievemark.operators.checks import file_records, related_files
 
     for name, value in (("floor", floor), ("allowance", allowance), ("few_tokens", few_tokens), ("delta", delta)):
         _option(name, value)
@@ -537,8 +539,7 @@ def file_metrics(floor: int = 300, allowance: int = 500, few_tokens: int = 10, d
         if was is None:
             r = r.withColumn("relation", F.lit(None).cast("string"))
         else:
-            rel = file_relations(r.select("path", "value"), was.select("path", F.col("code_lines").alias("value")), scope.touched(files, ctx.changed), delta)
-            r = r.join(rel.select("path", "relation"), "path", "left")
+            r = related_files(r, was.select("path", F.col("code_lines").alias("value")), scope.touched(files, ctx.changed), delta)
         return Result("completed", r.select("record_type_id", "level", "semantic_subject", "message", F.col("code_area").alias("codeArea"), F.col("code_limit").alias("limit"), "metric", "value", "path", "line", F.lit(1).alias("column"), "relation"), reference=_seen(ctx, "files"))
 
     kinds = {"codeArea": ("string", True), "limit": ("integer", True), "metric": ("string", True), "value": ("integer", True)}
@@ -549,7 +550,7 @@ def function_metrics(delta: int = 10, **more) -> Check:
     """Built in: long, complex or many-parametered functions. The context's tables have ``functions``; options areas, generated and limits.
     A reference's ``functions`` has file, name, lines, ccn and params."""
     from sievemark.operators import scope
-    from sievemark.operators.checks import FUNCTION_METRICS, function_instances, function_records, function_relations
+    from sievemark.operators.checks import function_instances, function_records, related_functions
 
     _option("delta", delta)
 
@@ -563,10 +564,7 @@ def function_metrics(delta: int = 10, **more) -> Check:
         if was is None:
             r = r.withColumn("relation", F.lit(None).cast("string"))
         else:
-            hit = scope.touched(functions, ctx.changed, "file")
-            own = {k: r.filter(F.col("record_type_id") == t).withColumn(k, F.col("value")) for k, (t, _) in FUNCTION_METRICS.items()}
-            rel = [function_relations(rows, was, hit, delta, k, "record_id").select("record_id", "relation") for k, rows in own.items()]
-            r = r.join(reduce(DataFrame.union, rel), "record_id", "left")
+            r = related_functions(r, was, scope.touched(functions, ctx.changed, "file"), delta)
         return Result("completed", r.select("record_type_id", "level", "semantic_subject", "message", F.col("code_area").alias("codeArea"), F.col("metric_limit").alias("limit"), "metric", "suggestion", "value", F.col("file").alias("path"), F.col("start_line").alias("line"), F.lit(1).alias("column"), "relation"), reference=_seen(ctx, "functions"))
 
     kinds = {"codeArea": ("string", True), "limit": ("integer", True), "metric": ("string", True), "suggestion": ("string", True), "value": ("integer", True)}

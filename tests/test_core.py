@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import re
 import threading
 
 import duckdb
@@ -16,7 +18,7 @@ from sievemark.functions import globs, text
 from sievemark.operators import checks, evidence, graph, policy, references, scope, store
 from sievemark.operators.measure import measured_files
 from sievemark.plans import queries as Q
-from sievemark.plans.definition import DefinitionError, RecordType, Result, resolve
+from sievemark.plans.definition import Comparison, DefinitionError, RecordType, Result, resolve
 from sievemark.plans.scheduler import Scheduler, Task, pooled
 from sievemark.sources import decoders, publication
 from sievemark.streaming import submissions
@@ -70,6 +72,42 @@ def test_changed_scope_is_the_same_by_broadcast_and_by_substrings(spark):
         assert {r["p"] for r in scope.touched(paths, changed, few=few).collect()} == want
 
 
+def test_changed_scope_of_many_paths_equals_brute_force_without_comparing_all_pairs(spark):
+    draw = random.Random(5)
+    word = lambda least, most: "".join(draw.choice("ab/é") for _ in range(draw.randint(least, most)))
+    p, c = {word(2, 9) for _ in range(300)}, {word(4, 7) for _ in range(60)}
+    frames = [spark.createDataFrame([(x,) for x in xs], "path string") for xs in (p, c)]
+    want = {x for x in p if any(y in x or x in y for y in c)}
+    for few in (100, 0):
+        got = [r["p"] for r in scope.touched(*frames, few=few).collect()]
+        assert set(got) == want and len(got) == len(want) < len(p)
+    paths = spark.range(3000).select(F.concat(F.lit("en/src1/"), "id").alias("path"))
+    got = scope.touched(paths, paths.filter("path like '%7'"))
+    assert not re.search("NestedLoopJoin.*LeftSemi", got._jdf.queryExecution().executedPlan().toString())
+    assert got.count() == sum("7" in str(n) or 1 <= n <= 299 for n in range(3000))
+    pieces = scope._holding(paths.toDF("p"), "p", paths.toDF("c"), "c")
+    assert pieces.count() < 5 * paths.count()
+
+
+def test_a_run_evaluates_its_checks_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    files = spark.range(40).selectExpr("concat('en/', id) path", "'english' area", "id code_lines", "0L decision_tokens").mapInPandas(counted, "path string, area string, code_lines long, decision_tokens long")
+    base = spark.createDataFrame([("en/30", 1)], "path string, code_lines long")
+    two = {"references": [{"reference_name": "base", "check_ids": ["file-metrics"]}], "views": [{"view_id": "all", "selectors": [("file-metrics", "file-code-lines")]}], "block_when": {"kind": "view-not-empty", "view_id": "all"}}
+    config = define_config([file_metrics(5, 5, 5, 2, options={"areas": [scope.Area("english", ("en/**",))]})], two)
+    got = run(spark, config, {"files": files}, changed=spark.createDataFrame([("en/30",)], "path string"), comparison=Comparison("base", "1", {"files": base}))
+    before = seen.value
+    assert got.records.count() == got.views.count() == 34 and got.gate.first()["gate"] == "failed"
+    assert [r["relation_id"] for r in got.relations.collect()] == ["regression"] and got.evidence.count() == 35 * 2
+    assert 0 < seen.value == before <= 40 * 3
+
+
 def test_areas_policies_and_levels(spark):
     areas = [scope.Area("a", ("a/**",), ("a/no/**",), "watchlist-only"), scope.Area("b", ("**",), (), "exclude-warnings")]
     rows = spark.createDataFrame([("a/x",), ("a/no/x",), ("gen/x",), ("c/.d",)], "p string")
